@@ -1,0 +1,53 @@
+"""What the corpus operators need from the cluster: a shared folder, partition counts."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Where the session names none (tests on one machine), a temporary folder is
+    made and set, once a session.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    own = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(own)
+    return context.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder; removed when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: the lineage ends
+    there, so a lost executor costs no more than the tasks it ran."""
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    """The session's shuffle partitions, the one setting that follows the size of the input."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
