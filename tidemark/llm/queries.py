@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontaminate import leaked_pairs
+from tidemark.llm.language_id import identify_language
+from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_jaccard import ngram_jaccard_join
+from tidemark.llm.quality_knn import quality_votes
+from tidemark.llm.quality_rules import quality_divergence
+from tidemark.llm.sharding import shard_by_groups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +24,44 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_votes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_divergence(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op9_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_groups(table(spark, sf_dir, "documents"), ["source", "lang"], shards=8).select("doc_id", "source", "lang", "bytes", "shard")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard": op1_ngram_jaccard,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op2_quality_knn,
+        op3_quality_rules,
+        op6_line_dedup,
+        op7_decontaminate,
+        op8_mix_sources,
+        op9_shard_groups,
+        op10_language_id,
+    )
 }
