@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting on latent-semantic vectors.
 
-Texts become hashed byte-trigram histograms (upper case, signs and spacing kept),
-log-scaled, weighted by inverse document frequency and projected on the leading
+Texts become hashed byte-trigram histograms (upper case, signs and spacing kept)
+with one bin more for words that repeat the word before, log-scaled, weighted by inverse document frequency and projected on the leading
 singular vectors of a bounded labelled sample.  The labelled vectors, a table of
 fixed size, are broadcast; every document is compared with all of them by exact
 blocked cosine products, and the labels of the nearest vote by similarity.
@@ -21,15 +21,18 @@ from tidemark.llm import textops as T
 from tidemark.llm.arrow import HIDDEN, with_columns
 
 BINS = 4096
+FEATURES = BINS + 1
+REPEAT_WEIGHT = 12
 ROWS = 256
 
 
 def histograms(column: pa.Array) -> np.ndarray:
-    """Counts of hashed byte trigrams, a row for each text."""
+    """Counts of hashed byte trigrams, and of repeated words, a row for each text."""
     data, offsets = T.utf8(column)
     n = len(offsets) - 1
+    out = np.zeros((n, FEATURES), np.float32)
     if len(data) < 3:
-        return np.zeros((n, BINS), np.float32)
+        return out
     x = data.astype(np.uint32)
     h = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))
     h *= np.uint32(0x27D4EB2F)
@@ -37,7 +40,12 @@ def histograms(column: pa.Array) -> np.ndarray:
     length = np.maximum(np.diff(offsets) - 2, 0)
     at = T.ragged(offsets[:-1], length)
     key = h[at].astype(np.int64) + np.repeat(np.arange(n) * BINS, length)
-    return np.bincount(key, minlength=n * BINS).reshape(n, BINS).astype(np.float32)
+    out[:, :BINS] = np.bincount(key, minlength=n * BINS).reshape(n, BINS)
+    words, at = T.words(column)
+    doc = T.owners(at)
+    again = np.flatnonzero((words[1:] == words[:-1]) & (doc[1:] == doc[:-1]))
+    out[:, BINS] = np.bincount(doc[again], minlength=n)
+    return out
 
 
 @dataclass
@@ -73,10 +81,11 @@ def fit(counts: np.ndarray, labels: np.ndarray, dims: int = 64, seed: int = 7) -
     """Latent-semantic analysis of labelled histograms by randomized subspace iteration."""
     n = len(counts)
     idf = np.log((1 + n) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(1)
+    idf[BINS] = REPEAT_WEIGHT
     x = np.log1p(counts) * idf
     x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
     k = max(1, min(dims, n))
-    q = np.random.default_rng(seed).standard_normal((BINS, min(k + 16, BINS))).astype(np.float32)
+    q = np.random.default_rng(seed).standard_normal((FEATURES, k + 16)).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q)) if n else (q, None)
     small = x @ q
@@ -114,11 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dims: int =
         if any(r.counts):
             rows[r.id] = min(rows.get(r.id, (bytes(r.counts), r.label)), (bytes(r.counts), r.label))
     order = sorted(rows)
-    counts = np.array([np.frombuffer(rows[i][0], np.uint16) for i in order], np.float32).reshape(-1, BINS)
+    counts = np.array([np.frombuffer(rows[i][0], np.uint16) for i in order], np.float32).reshape(-1, FEATURES)
     return fit(counts, np.array([rows[i][1] for i in order], np.float64), dims)
 
 
-def quality_votes(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dims: int = 64, neighbours: int = 15, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+def quality_votes(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dims: int = 64, neighbours: int = 15, threshold: float = 0.35, keep: list[str] | None = None) -> DataFrame:
     """Adds ``quality_score``, the similarity-weighted share of good among the
     nearest labelled documents, and ``quality_keep``, whether it reaches the threshold.
 
@@ -136,7 +145,7 @@ def quality_votes(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dim
         model = Model(**shared.value)
         counts = histograms(piece.column(HIDDEN))
         votes = model.vote(model.embed(counts), neighbours)
-        empty = counts.sum(1) == 0
+        empty = counts[:, :BINS].sum(1) == 0
         votes = np.where(empty, np.nan, votes)
         good = ~empty & (np.isnan(votes) | (votes >= threshold))
         return [pa.array(votes, pa.float64(), from_pandas=True), pa.array(good)]
