@@ -11,9 +11,13 @@ from tidemark.llm.language_id import identify_language
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_jaccard import ngram_jaccard_join
+from tidemark.llm.pitman_yor import perplexity
 from tidemark.llm.quality_knn import quality_votes
 from tidemark.llm.quality_rules import quality_divergence
 from tidemark.llm.sharding import shard_by_groups
+from tidemark.llm.token_output import token_table
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_divergence(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity(table(spark, sf_dir, "documents"))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str, vocabulary_path: str = VOCABULARY) -> DataFrame:
+    return token_table(spark, table(spark, sf_dir, "documents"), vocabulary_path)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
@@ -58,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_ngram_jaccard,
         op2_quality_knn,
         op3_quality_rules,
+        op4_pitman_yor,
+        op5_token_output,
         op6_line_dedup,
         op7_decontaminate,
         op8_mix_sources,
