@@ -15,5 +15,28 @@ p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS x, min(a.n) AS na, min(
 SELECT c.rep AS doc_a, s.doc_id AS doc_b, CAST(1.0 AS DOUBLE) AS jaccard FROM s JOIN c USING (k) WHERE s.doc_id <> c.rep
 UNION ALL
 SELECT doc_a, doc_b, CAST(x AS DOUBLE) / (na + nb - x) AS jaccard FROM p WHERE 5 * x >= 2 * (na + nb - x)
+""",
+    "op6_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+           FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+k AS (SELECT doc_id, line, i, length(trim(line, ' ')) >= 10
+             AND row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id, i) > 1 AS gone FROM l),
+r AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text,
+             CAST(count(*) FILTER (gone) AS INTEGER) AS lines_removed FROM k GROUP BY doc_id)
+SELECT doc_id, text, lines_removed FROM r
+UNION ALL
+SELECT doc_id, text, CAST(0 AS INTEGER) FROM documents WHERE doc_id IS NULL OR text IS NULL
+""",
+    "op7_decontaminate": rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS s
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM b WHERE len(w) >= 3)),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 7 + 1)) AS i FROM d WHERE len(w) >= 8)),
+short AS (SELECT DISTINCT item_id, s FROM p WHERE len(string_split(s, ' ')) < 8)
+SELECT doc_id, item_id FROM g JOIN p USING (s)
+UNION
+SELECT doc_id, item_id FROM d JOIN short ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || s || ' ')
 """,
 }
