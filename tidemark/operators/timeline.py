@@ -60,3 +60,12 @@ def timeline(intervals: DataFrame, keys: list[str], label: str) -> DataFrame:
 def tracks(intervals: DataFrame, keys: list[str], label: str) -> DataFrame:
     """``keys, label, segments``: each label's intervals in order."""
     return intervals.groupBy(*keys, label).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("segments"))
+
+
+def label_runs(rows: DataFrame, keys: list[str], index: str, label: str) -> DataFrame:
+    """``keys, label, first, last, n`` of the runs of one label in order of the index."""
+    order = Window.partitionBy(*keys).orderBy(index)
+    changed = (~F.col(label).eqNullSafe(F.lag(label).over(order)) | F.lag(F.lit(1)).over(order).isNull()).cast("int")
+    named = rows.select(*keys, index, label).withColumn("__new", changed)
+    island = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return named.withColumn("__run", island).groupBy(*keys, label, "__run").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count(F.lit(1)).alias("n")).drop("__run")
