@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,11 @@ from tidemark.llm import textops as T
 HIDDEN = "__text"
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has yet."""
+    return f"__{name}_{uuid.uuid4().hex[:12]}"
+
+
 def with_columns(docs: DataFrame, added: str, kernel: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None, also: dict | None = None, rows: int = 1 << 30) -> DataFrame:
     """``docs`` with the columns of the DDL string ``added``, which ``kernel``
     makes from pieces of at most about 1 MB of text and ``rows`` rows.

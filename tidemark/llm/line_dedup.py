@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import cluster
 from tidemark.llm import textops as T
+from tidemark.llm.arrow import fresh
 
 U64 = np.uint64
 SEGMENT = 20  # log2 of the bits of a segment
@@ -147,11 +148,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, filter_bytes: int = 512 <<
     without a doc_id, stay as they are and count for nothing.  An empty table stays
     empty, texts are read whole, other columns pass unchanged.
     """
-    gone = repeated_lines(docs, min_chars, filter_bytes).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
+    id_, lost = fresh("id"), fresh("gone")
+    gone = repeated_lines(docs, min_chars, filter_bytes).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line").alias(lost))
     columns = [c for c in docs.columns if c.lower() != "lines_removed"]
-    joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(gone, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("lines_removed")).withColumn(
-        "lines_removed", F.greatest("lines_removed", F.lit(0))
-    )
+    joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(gone, F.col("doc_id").cast("bigint") == F.col(id_), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).alias("lines_removed"))

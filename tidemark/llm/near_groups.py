@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import cluster
+from tidemark.llm.arrow import fresh
 from tidemark.llm.ngram_jaccard import ngram_jaccard_join
 
 
@@ -53,5 +54,6 @@ def keep_one_of_each_group(docs: DataFrame, n: int = 5, threshold: float = 0.4)
     no group and stay; rows that share a doc_id stay or go together.  Other columns
     pass unchanged; an empty table stays empty.
     """
-    gone = components(ngram_jaccard_join(docs, n, threshold)).select(F.col("doc_id").alias("__gone"))
-    return docs.join(cluster.written(docs.sparkSession, gone, "gone"), F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    id_ = fresh("gone")
+    gone = components(ngram_jaccard_join(docs, n, threshold)).select(F.col("doc_id").alias(id_))
+    return docs.join(cluster.written(docs.sparkSession, gone, "gone"), F.col("doc_id").cast("bigint") == F.col(id_), "left_anti")

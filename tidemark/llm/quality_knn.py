@@ -66,13 +66,16 @@ class Model:
         return z / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
 
     def vote(self, z: np.ndarray, neighbours: int) -> np.ndarray:
-        """Similarity-weighted mean label of the nearest labelled vectors; NaN without any."""
+        """Similarity-weighted mean label of the nearest labelled vectors, as if both
+        labels were equally frequent among all; NaN without any."""
         if not len(self.labels):
             return np.full(len(z), np.nan)
+        good = self.labels > 0.5
+        rarity = np.where(good, 0.5 / max(good.mean(), 1e-12), 0.5 / max(1 - good.mean(), 1e-12)) if 0 < good.sum() < len(good) else np.ones(len(good))
         similar = z @ self.vectors.T
         k = min(neighbours, len(self.labels))
         near = np.argpartition(-similar, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), (len(z), k))
-        weight = np.maximum(np.take_along_axis(similar, near, 1), 0).astype(np.float64)
+        weight = np.maximum(np.take_along_axis(similar, near, 1), 0).astype(np.float64) * rarity[near]
         total = weight.sum(1)
         return np.where(total > 0, (weight * self.labels[near]).sum(1) / np.where(total > 0, total, 1), np.nan)
 
@@ -130,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dims: int =
 def quality_votes(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dims: int = 64, neighbours: int = 15, threshold: float = 0.35, keep: list[str] | None = None) -> DataFrame:
     """Adds ``quality_score``, the similarity-weighted share of good among the
     nearest labelled documents, and ``quality_keep``, whether it reaches the threshold.
+    Where the sample lacks documents of one label, their votes weigh more in proportion.
 
     ``keep`` names the columns of docs to return, all by default; columns that
     already have the added names are replaced.  A NULL text, or one under three

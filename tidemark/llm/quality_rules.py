@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import cluster
 from tidemark.llm import textops as T
-from tidemark.llm.arrow import HIDDEN, with_columns
+from tidemark.llm.arrow import HIDDEN, fresh, with_columns
 
 COMMON = {
     "en": "the of and to a in is that for it as was with be by on at this are or an from which have not".split(),
@@ -116,8 +116,9 @@ def quality_divergence(
     common = COMMON if common is None else common
     spark = docs.sparkSession
     # written, so that its size is known and Spark broadcasts it or not by that
-    known = cluster.written(spark, references(docs, common), "references").select(F.col("lang").alias("__of"), F.col("classes").alias("__classes"), F.col("words").alias("__words"))
-    joined = docs.join(known, F.coalesce(docs["lang"].cast("string"), F.lit("")) == F.col("__of"), "left")
+    of, c, w = fresh("of"), fresh("classes"), fresh("words")
+    known = cluster.written(spark, references(docs, common), "references").select(F.col("lang").alias(of), F.col("classes").alias(c), F.col("words").alias(w))
+    joined = docs.join(known, F.coalesce(docs["lang"].cast("string"), F.lit("")) == F.col(of), "left")
 
     def judge(piece: pa.RecordBatch) -> list[pa.Array]:
         names = np.array(piece.column("__lang").to_pylist(), object)
@@ -138,5 +139,5 @@ def quality_divergence(
         good = ~(a > max_chars) & ~(b > max_words)
         return [pa.array(a, from_pandas=True), pa.array(b, from_pandas=True), pa.array(good)]
 
-    also = {"__lang": F.coalesce(docs["lang"].cast("string"), F.lit("")), "__c": F.col("__classes"), "__w": F.col("__words")}
+    also = {"__lang": F.coalesce(docs["lang"].cast("string"), F.lit("")), "__c": F.col(c), "__w": F.col(w)}
     return with_columns(joined, "char_distance double, word_distance double, rules_keep boolean", judge, docs.columns if keep is None else keep, also)

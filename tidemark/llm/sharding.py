@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import cluster
+from tidemark.llm.arrow import fresh
 
 PART = 1 << 15
 
@@ -94,8 +95,9 @@ def shard_by_groups(docs: DataFrame, group: list[str], shards: int, part_groups:
     if shards < 1:
         raise ValueError("at least one shard is needed")
     columns = [c for c in docs.columns if c.lower() not in ("bytes", "shard")]
+    own, of = fresh("key"), fresh("of")
     key = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"_{i}") for i, c in enumerate(group)]))
-    sized = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("bytes"), key.alias("__key"))
-    groups = sized.groupBy(F.col("__key").alias("key")).agg(F.sum("bytes").alias("bytes"))
-    placed = cluster.written(docs.sparkSession, assign_groups(groups, shards, part_groups), "shards").select(F.col("key").alias("__k"), "shard")
-    return sized.join(placed, F.col("__key") == F.col("__k")).select(*[F.col(f"`{c}`") for c in columns], "bytes", "shard")
+    sized = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("bytes"), key.alias(own))
+    groups = sized.groupBy(F.col(own).alias("key")).agg(F.sum("bytes").alias("bytes"))
+    placed = cluster.written(docs.sparkSession, assign_groups(groups, shards, part_groups), "shards").select(F.col("key").alias(of), "shard")
+    return sized.join(placed, F.col(own) == F.col(of)).select(*[F.col(f"`{c}`") for c in columns], "bytes", "shard")
