@@ -5,14 +5,26 @@ import corpus_pipeline as C
 SF = "/root/testdata/sf0.001"
 
 
+def norm(t):
+    return re.findall(r"(?:[a-z0-9]|[^\x00-\x7F])+", t.lower())
+
+
+def grams(t):
+    w = norm(t)
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+
+
+def near(a, b):
+    return 5 * len(a & b) >= 2 * len(a | b)
+
+
 def test_stages_one_by_one(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     names = [n for n, _ in C.STAGES]
     assert len(names) in (4, 5) and names == ["quality", "near_duplicates", "decontaminate", "mix", "tokens"]
-    norm = lambda t: re.findall(r"(?:[a-z0-9]|[^\x00-\x7F])+", t.lower())
-    grams = lambda t: {tuple(norm(t)[k : k + 5]) for k in range(max(1, len(norm(t)) - 4))}
+    strings = {" " + " ".join(norm(q)[k : k + 8]) + " " for q in items for k in range(max(1, len(norm(q)) - 7))}
     at = docs
     for k, (name, stage) in enumerate(C.STAGES):
         before = at
@@ -27,21 +39,17 @@ def test_stages_one_by_one(spark, tmp_path):
             kept = [i in ids for i, q in labels.items() if q == 1]
             assert sum(kept) / len(kept) > 0.97 and sum(i in ids for i, q in labels.items() if q == 0) <= 0.1 * len(labels)
         if name == "near_duplicates":
-            sets = [grams(r.text) for r in rows if norm(r.text)]
-            for i in range(len(sets)):
-                for j in range(i):
-                    assert 5 * len(sets[i] & sets[j]) < 2 * len(sets[i] | sets[j])
+            sets = {r.doc_id: grams(r.text) for r in before.collect() if norm(r.text)}
             ids = {r.doc_id for r in rows}
-            for r in before.collect():
-                if r.doc_id not in ids:
-                    assert any(o.doc_id < r.doc_id and 5 * len(grams(o.text) & grams(r.text)) >= 2 * len(grams(o.text) | grams(r.text)) for o in before.collect())
+            left = [s for i, s in sets.items() if i in ids]
+            assert not any(near(left[i], left[j]) for i in range(len(left)) for j in range(i))
+            for i, s in sets.items():
+                assert i in ids or any(o < i and near(s, sets[o]) for o in sets)
         if name == "decontaminate":
-            def leaks(t):
-                body = f" {' '.join(norm(t))} "
-                return any(f" {' '.join(norm(q)[k : k + 8])} " in body for q in items for k in range(max(1, len(norm(q)) - 7)))
-
             ids = {r.doc_id for r in rows}
-            assert all(leaks(r.text) != (r.doc_id in ids) for r in before.collect())
+            for r in before.collect():
+                body = f" {' '.join(norm(r.text))} "
+                assert any(x in body for x in strings) != (r.doc_id in ids)
         if name == "mix":
             tokens = [w for r in before.collect() for w in r.text.split()]
             assert rows and {w for r in rows for w in r.text.split()} <= set(tokens)

@@ -73,8 +73,20 @@ def test_seating_has_its_conditional():
     t = H.seat(np.full(40_000, c), np.full(40_000, base), np.full(40_000, others), d, theta, np.random.default_rng(1))
     weight = np.array([np.exp(H.stirling(d)[c, k]) * base**k * np.prod([theta + d * (others + j) for j in range(k)]) for k in range(1, c + 1)])
     assert np.abs(np.bincount(t, minlength=c + 1)[1:] / len(t) - weight / weight.sum()).max() < 0.015
-    big = H.seat(np.array([1, 1000, 10**6]), np.full(3, 0.01), np.full(3, 100), d, theta, np.random.default_rng(2))
-    assert big[0] == 1 and 1 <= big[1] <= big[2] < 10**4
+
+
+def test_seating_of_many_customers():
+    """Beyond the table the numbers follow a customer-by-customer seating."""
+    d, theta, base, others, c = 0.5, 2.0, 0.05, 100, 1000
+    rng = np.random.default_rng(2)
+    t = H.seat(np.full(2000, H.EXACT), np.full(2000, base), np.full(2000, others), d, theta, rng)
+    slow = t.copy()
+    for n in range(H.EXACT, c):
+        new = (theta + d * (others + slow)) * base
+        slow += rng.random(2000) < new / (new + n - d * slow)
+    got = H.seat(np.full(2000, c), np.full(2000, base), np.full(2000, others), d, theta, rng)
+    assert abs(got.mean() - slow.mean()) < 0.15 * slow.mean() and got.max() < c
+    assert H.seat(np.array([1]), np.array([0.1]), np.array([0]), d, theta, rng)[0] == 1
 
 
 def test_predictions_sum_to_one():
