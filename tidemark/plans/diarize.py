@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import cluster
 from tidemark.config import Chunks, ClusterOptions, Grid, Options, Thresholds
 from tidemark.functions import grid as G
 from tidemark.operators import activity, linkage, overlap_add, timeline, vectors, windowing
@@ -84,7 +85,9 @@ class Diarizer:
         frame = Grid(step=step, duration=step)
 
         chunks = windowing.block_chunks(blocks, "file_id", "blk", "samples", shape.window // shape.step, shape.step)
-        scores = long_scores(score_chunks(chunks, self.segmenter, shape))
+        # models are the dearest step and their results are used several times: they run once
+        spark = blocks.sparkSession
+        scores = long_scores(cluster.written(spark, score_chunks(chunks, self.segmenter, shape), "scores"))
         active = activity.hysteresis(scores, ["file_id", "chunk_idx", "spk"], "frame_idx", "score", limits.onset, limits.offset, initial=False)
         counts = overlap_add.active_count(active, KEYS, "on", chunk, frame, shape.frames, limits.trim)
         clean = activity.clean_masks(active, ["file_id", "chunk_idx", "frame_idx"])
@@ -92,7 +95,8 @@ class Diarizer:
         used = activity.used_masks(clean, ["file_id", "chunk_idx", "spk"], least)
         by_class = used.groupBy("file_id", "chunk_idx", "spk").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "used"))), lambda x: x["used"]).alias("m"))
         masks = by_class.groupBy("file_id", "chunk_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("spk", "m"))), lambda x: x["m"]).alias("masks"))
-        embeddings = embed_chunks(chunks.join(masks, ["file_id", "chunk_idx"]), self.embedder, shape, limits.min_samples, self.options.clustering.batch32)
+        embedded = embed_chunks(chunks.join(masks, ["file_id", "chunk_idx"]), self.embedder, shape, limits.min_samples, self.options.clustering.batch32)
+        embeddings = cluster.written(spark, embedded, "embeddings")
         assigned = assign_clusters(embeddings, self.options.clustering)
         totals = activity.activity_totals(active, ["file_id", "chunk_idx", "spk"])
         assigned = activity.mark_inactive(assigned, totals, ["file_id", "chunk_idx", "spk"])
