@@ -23,20 +23,21 @@ def overlap_add(
 
     long: ``keys, chunk_idx, frame_idx, classes..., value``.  Chunk c starts at the
     frame closest to its start.  NULL and NaN scores count for nothing; a frame
-    without any other has ``missing``, on the whole grid of the sequence if that is
-    given.  With ``hamming`` scores are weighted by their place in the chunk.
+    without any other has ``missing``, if that is given, on the whole grid up to the
+    frame closest to the end of the last chunk.  With ``hamming`` scores are weighted by their place in the chunk.
     """
     classes = classes or []
-    at = (G.closest_frame(F.lit(chunk.start) + F.col("chunk_idx") * F.lit(chunk.step) + F.lit(0.5 * frame.duration), frame) + F.col("frame_idx")).cast("bigint")
+    begin = F.lit(chunk.start) + F.col("chunk_idx") * F.lit(chunk.step)
+    at = (G.closest_frame(begin, frame) + F.col("frame_idx")).cast("bigint")
     score = F.when(F.isnan(F.col(value).cast("double")), None).otherwise(F.col(value).cast("double"))
     weight = _weight(frames) if hamming else F.lit(1.0)
-    placed = long.select(*keys, at.alias("frame"), *classes, (score * weight).alias("__s"), F.when(score.isNotNull(), weight).alias("__w"))
+    placed = long.select(*keys, at.alias("frame"), *classes, G.closest_frame(begin + F.lit(chunk.duration), frame).alias("__end"), (score * weight).alias("__s"), F.when(score.isNotNull(), weight).alias("__w"))
     total = placed.groupBy(*keys, "frame", *classes).agg(F.sum("__s").alias("__s"), F.sum("__w").alias("__w"))
     made = F.col("__s") if skip_average else F.col("__s") / F.greatest(F.col("__w"), F.lit(epsilon))
     result = total.select(*keys, "frame", *classes, made.alias(out))
     if missing is None:
         return result
-    extent = placed.groupBy(*keys).agg(F.max("frame").alias("__last"))
+    extent = placed.groupBy(*keys).agg(F.greatest(F.max("frame"), F.max("__end")).alias("__last"))
     grid = extent.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__last"))).alias("frame"))
     if classes:
         grid = grid.join(long.select(*keys, *classes).distinct(), keys)

@@ -234,7 +234,8 @@ def inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # overlap-add
 
-START = "CAST(greatest(0e0, CAST(round_even((({0}e0 + chunk_idx * 4e0 + 0.685e0) - {0}e0 - 0.685e0) / 1.37e0, 0) AS DOUBLE)) AS BIGINT)"
+START = "CAST(greatest(0e0, CAST(round_even((({0}e0 + chunk_idx * 4e0) - {0}e0 - 0.685e0) / 1.37e0, 0) AS DOUBLE)) AS BIGINT)"
+END = "CAST(round_even((({0}e0 + chunk_idx * 4e0 + {1}e0) - {0}e0 - 0.685e0) / 1.37e0, 0) AS BIGINT)"
 
 
 @query(f"""WITH {_slid(4)}, p AS (SELECT user_id, {START.format(0)} + frame_idx AS frame, value FROM sc)
@@ -244,8 +245,8 @@ def overlap_add_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {_slid(4)}, p AS (SELECT user_id, {START.format(0)} + frame_idx AS frame, value FROM sc),
-t AS (SELECT user_id, frame, sum(value) AS v FROM p GROUP BY user_id, frame), e AS (SELECT user_id, unnest(range(0, max(frame) + 1)) AS frame FROM p GROUP BY user_id)
+@query(f"""WITH {_slid(4)}, p AS (SELECT user_id, {START.format(0)} + frame_idx AS frame, {END.format(0, 10)} AS fin, value FROM sc),
+t AS (SELECT user_id, frame, sum(value) AS v FROM p GROUP BY user_id, frame), e AS (SELECT user_id, unnest(range(0, greatest(max(frame), max(fin)) + 1)) AS frame FROM p GROUP BY user_id)
 SELECT e.user_id, e.frame, round(coalesce(t.v, 0e0), 6) AS value FROM e LEFT JOIN t ON t.user_id = e.user_id AND t.frame = e.frame""")
 def overlap_add_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = overlap_add.overlap_add(slid(spark, sf_dir, 4), ["user_id"], "value", CHUNK, FRAME, 10, skip_average=True, missing=0.0)
@@ -259,9 +260,9 @@ def overlap_add_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {_slid(4)}, s AS (SELECT user_id, chunk_idx, frame_idx - 1 AS f, CAST(value > 20 AS INTEGER) + CAST(value > 50 AS INTEGER) + CAST(value > 100 AS INTEGER) AS n FROM sc WHERE frame_idx >= 1 AND frame_idx < 9),
-p AS (SELECT user_id, {START.format(1)} + f AS frame, n FROM s), m AS (SELECT user_id, frame, CAST(sum(n) AS DOUBLE) / count(*) AS m FROM p GROUP BY user_id, frame),
-e AS (SELECT user_id, unnest(range(0, max(frame) + 1)) AS frame FROM p GROUP BY user_id)
+@query(f"""WITH {_slid(4)}, s AS (SELECT user_id, chunk_idx, {END.format(1, 8)} AS fin, frame_idx - 1 AS f, CAST(value > 20 AS INTEGER) + CAST(value > 50 AS INTEGER) + CAST(value > 100 AS INTEGER) AS n FROM sc WHERE frame_idx >= 1 AND frame_idx < 9),
+p AS (SELECT user_id, {START.format(1)} + f AS frame, fin, n FROM s), m AS (SELECT user_id, frame, CAST(sum(n) AS DOUBLE) / count(*) AS m FROM p GROUP BY user_id, frame),
+e AS (SELECT user_id, unnest(range(0, greatest(max(frame), max(fin)) + 1)) AS frame FROM p GROUP BY user_id)
 SELECT e.user_id, e.frame, CAST(round_even(coalesce(m.m, 0e0), 0) AS INTEGER) AS n FROM e LEFT JOIN m ON m.user_id = e.user_id AND m.frame = e.frame""")
 def speaker_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = F.array(*[F.struct(F.lit(k).alias("class"), (F.col("value") > t).cast("int").alias("on")) for k, t in enumerate((20, 50, 100))])
