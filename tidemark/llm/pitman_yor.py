@@ -272,7 +272,7 @@ def _score_scan(parts: int, hot):
                 docs.append(T.owners(at) + base)
                 ids.append(piece.column("doc_id").to_numpy())
                 base, n = base + piece.num_rows, n + len(key)
-                if n >= FLUSH:
+                if n >= FLUSH // 2:
                     yield flush(keys, docs, ids)
                     keys, docs, ids, base, n = [], [], [], 0, 0
         if n:
@@ -337,7 +337,7 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
     empty table gives an empty result; texts are read whole, other columns not at all.
     """
     spark = docs.sparkSession
-    parts = parts or cluster.partitions(spark)
+    parts = parts or 2 * cluster.partitions(spark)
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = cluster.written(spark, source.select("text").mapInArrow(_type_scan(parts), _ROW).groupBy("part").applyInArrow(_types, _ROW), "types")
     sums = _collect(found.where("kind > 0"))
@@ -353,7 +353,9 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
         if number >= burn_in:
             states.append(now)
         if number < burn_in + samples:
-            more = _collect(multiple.mapInArrow(_round(spark.sparkContext.broadcast(now), d, theta, seed), _ROW))
+            shared = spark.sparkContext.broadcast(now)
+            more = _collect(multiple.mapInArrow(_round(shared, d, theta, seed), _ROW))
+            shared.destroy()
             zero = np.zeros(WORDS, np.int64)
             tables, arrivals = types + more.get(1, zero), dishes + more.get(2, zero)
 
