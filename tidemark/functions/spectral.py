@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -22,6 +24,7 @@ def power(spectra: np.ndarray) -> np.ndarray:
     return spectra.real**2 + spectra.imag**2
 
 
+@lru_cache(maxsize=8)
 def mel_filters(bins: int = 201, bands: int = 80, rate: int = 16_000, low: float = 0.0, high: float | None = None) -> np.ndarray:
     """Triangular filters (bins, bands) at equal steps of the mel scale."""
     high = rate / 2 if high is None else high

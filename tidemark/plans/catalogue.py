@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import cluster
 from tidemark.config import ClusterOptions, Grid, Options
 from tidemark.functions import arrays as A
 from tidemark.functions import grid as G
@@ -577,6 +578,7 @@ def stub_diarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     loud = F.when(F.col("value") > 50, 0.3).otherwise(0.0)
     samples = F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda k: (F.col("loud") * F.sin(2 * np.pi * F.col("pitch") * k / 16_000)).cast("float"))
     blocks = rows.withColumn("loud", loud).withColumn("pitch", pitch).select(F.col("user_id").cast("string").alias("file_id"), F.col("frame").cast("int").alias("blk"), samples.alias("samples"))
+    blocks = cluster.written(spark, blocks, "blocks")
     options = Options(clustering=ClusterOptions(threshold=0.9, min_cluster_size=3))
     return diarize.Diarizer(options).run(blocks)
 
