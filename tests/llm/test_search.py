@@ -40,7 +40,7 @@ def test_leaks_against_brute_force(spark, docs_of, text_of, odd_rows):
         docs.append((i, " \n".join(words)))
     table = spark.createDataFrame(items, "item_id bigint, text string")
     found = D.leaked_pairs(docs_of(docs), table)
-    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == brute(docs, items)
+    assert sorted((r.doc_id, int(r.item)) for r in found.collect()) == brute(docs, items)
     # the same in several passes of tables
     split = D.find_leaks(docs_of(docs).where("doc_id is not null"), table, part_bytes=500, keep=["doc_id"]).collect()
     assert sorted({(r.doc_id, i) for r in split for i in r.leaked_items}) == brute(docs, items)

@@ -180,6 +180,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_words
 
 
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_words: int = 3) -> DataFrame:
-    """``doc_id, item_id`` of every leak, once; rows without a doc_id are left out."""
+    """``doc_id, item`` of every leak, once, the item's id as text, so that the one
+    number of a row is the document's; rows without a doc_id are left out."""
     found = find_leaks(docs.where("doc_id is not null"), benchmark, window, min_words, keep=["doc_id"]).where("size(leaked_items) > 0")
-    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode("leaked_items").alias("item_id")).distinct()
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(F.col("leaked_items").cast("array<string>")).alias("item")).distinct()

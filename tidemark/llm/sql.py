@@ -35,8 +35,8 @@ p AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS s
 g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS s
       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 7 + 1)) AS i FROM d WHERE len(w) >= 8)),
 short AS (SELECT DISTINCT item_id, s FROM p WHERE len(string_split(s, ' ')) < 8)
-SELECT doc_id, item_id FROM g JOIN p USING (s)
+SELECT doc_id, CAST(item_id AS VARCHAR) AS item FROM g JOIN p USING (s)
 UNION
-SELECT doc_id, item_id FROM d JOIN short ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || s || ' ')
+SELECT doc_id, CAST(item_id AS VARCHAR) FROM d JOIN short ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || s || ' ')
 """,
 }
