@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,15 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder; removed when the process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_remove, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _remove(files, where) -> None:
+    # the session may have been stopped, the JVM's file system still answers; a JVM that is gone can't be asked
+    with contextlib.suppress(Py4JError, OSError):
+        files.delete(where, True)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
