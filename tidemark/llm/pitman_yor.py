@@ -190,7 +190,7 @@ def _sum(table: pa.Table) -> pa.Table:
     for x in table.column("payload"):
         at, n = T.unpack(x.as_py())
         total[at] += n.astype(np.int64)
-    return _table([(table.column("part")[0].as_py(), table.column("kind")[0].as_py(), T.pack(total))])
+    return _table([(table.column("part")[0].as_py(), table.column("kind")[0].as_py(), T.pack(_small(total)))])
 
 
 def _collect(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -337,7 +337,7 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
     empty table gives an empty result; texts are read whole, other columns not at all.
     """
     spark = docs.sparkSession
-    parts = parts or 2 * cluster.partitions(spark)
+    parts = parts or cluster.partitions(spark)
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = cluster.written(spark, source.select("text").mapInArrow(_type_scan(parts), _ROW).groupBy("part").applyInArrow(_types, _ROW), "types")
     sums = _collect(found.where("kind > 0"))
