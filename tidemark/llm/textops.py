@@ -97,7 +97,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[p
 
 
 def lower(column: pa.Array) -> pa.Array:
-    return pc.utf8_lower(column)
+    return pc.utf8_lower(column.cast(column.type.value_type) if pa.types.is_dictionary(column.type) else column)
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
