@@ -89,6 +89,24 @@ def test_seating_of_many_customers():
     assert H.seat(np.array([1]), np.array([0.1]), np.array([0]), d, theta, rng)[0] == 1
 
 
+@pytest.mark.parametrize(("d", "theta", "others", "base", "c"), [(0.75, 5.0, 20_000, 0.01, 2048), (0.75, 5.0, 2000, 0.05, 2048), (0.75, 5.0, 2000, 0.2, 2048), (0.75, 5.0, 0, 0.3, 512), (0.5, 10.0, 5000, 0.1, 512), (0.75, 5.0, 200_000, 0.3, 600), (0.5, 10.0, 100_000, 2.0**-20, 700)])
+def test_seating_of_many_customers_has_its_conditional(d, theta, others, base, c):
+    log_s = np.full(c + 1, -np.inf)
+    log_s[0] = 0
+    for k in range(1, c + 1):
+        with np.errstate(divide="ignore"):
+            log_s[1:] = np.logaddexp(log_s[:-1], np.log(np.maximum(k - 1 - np.arange(1, c + 1) * d, 0)) + log_s[1:])
+        log_s[0] = -np.inf
+    t = np.arange(1, c + 1)
+    weight = log_s[1:] + np.cumsum(np.log(theta + d * (others + t - 1))) + t * np.log(base)
+    weight = np.exp(weight - weight.max())
+    weight /= weight.sum()
+    mean, sd = (weight * t).sum(), np.sqrt((weight * t**2).sum() - (weight * t).sum() ** 2)
+    got = H.seat(np.full(4000, c), np.full(4000, base), np.full(4000, others), d, theta, np.random.default_rng(5))
+    assert abs(got.mean() - mean) < 5 * sd / np.sqrt(4000) + 1e-3 and abs(got.std() - sd) < 0.06 * sd + 0.02
+    assert np.abs(np.cumsum(np.bincount(got, minlength=c + 1)[1:] / 4000 - weight)).max() < 0.035
+
+
 def test_predictions_sum_to_one():
     rng = np.random.default_rng(3)
     key = np.unique(rng.integers(1, 4, 60).astype(np.uint64) << np.uint64(H.BITS) | rng.integers(1, 12, 60).astype(np.uint64))

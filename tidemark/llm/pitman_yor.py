@@ -36,6 +36,7 @@ BITS = 20
 WORDS = 1 << BITS
 FLUSH = 1 << 20
 EXACT = 256  # customers up to which the conditional is tabulated
+NODES, REACH = 40, 5.0  # of the integral beyond
 SLICE = 1 << 14
 _LOW = U64((1 << BITS) - 1)
 _KEY = U64((1 << 2 * BITS) - 1)
@@ -59,12 +60,104 @@ def stirling(d: float) -> np.ndarray:
     return _STIRLING[d]
 
 
+def log_weight(t: np.ndarray, c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log of S_d(c, t) * prod(theta + d * (tables + i), i < t) * base**t for real t, up to
+    a constant of the other arguments, and its first two derivatives by t.
+
+    S_d(c, t) is c! / (t! d**t) times the coefficient of z**c in (1 - (1 - z)**d)**t.  That is
+    integrated along a parabola around the cut z > 1, with w = 1 - z, which crosses the real
+    axis at the saddle point, or where it decays as 4 / c if that is farther.
+    """
+    x = np.log(np.minimum(4 / c, 0.5))
+    low, high = np.full(len(c), -700.0), np.full(len(c), -1e-9)
+    for _ in range(30):  # the saddle point by bisection of log w
+        x = (low + high) / 2
+        w = np.exp(x)
+        left = -np.expm1(x) * d * w ** (d - 1) * t > -np.expm1(d * x) * c
+        low, high = np.where(left, x, low), np.where(left, high, x)
+    w0 = np.maximum(np.exp(x), 4 / c)
+    curve = 2 * np.sqrt(w0 * (c * w0 / (1 - np.minimum(w0, 1 - 1e-9)) + 1)) / np.sqrt(w0)
+    u = np.sinh((np.arange(NODES) + 0.5) * (REACH / NODES)) / curve[:, None]
+    step = np.cosh((np.arange(NODES) + 0.5) * (REACH / NODES)) / curve[:, None]
+    root = 1 + 1j * u
+    power = w0[:, None] * root**2
+    f = np.log(1 - power**d)
+    g = f * t[:, None] - (c[:, None] + 1) * np.log(1 - power)
+    top = g.real.max(1)
+    term = np.exp(g - top[:, None]) * root * step * w0[:, None]
+    total = term.real.sum(1)
+    mean = (term * f).real.sum(1) / total
+    square = (term * f * f).real.sum(1) / total
+    a = theta / d + tables
+    # one customer a table: the coefficient is d**c
+    inner = np.where(t > c - 0.01, c * np.log(d) - np.log(2 / np.pi * REACH / NODES), np.log(np.maximum(total, 1e-300)) + top)
+    value = inner + _gammaln(a + t) - _gammaln(t + 1) + t * np.log(base)
+    slope = mean + _digamma(a + t) - _digamma(t + 1) + np.log(base)
+    return value, slope, square - mean**2 + 1 / (a + t - 0.5) - 1 / (t + 0.5)
+
+
+def _gammaln(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series above 8."""
+    up = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - up
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    return np.log(y) - 0.5 / y - 1 / (12 * y**2) + 1 / (120 * y**4) - sum(1 / (x + k) for k in range(8))
+
+
+def _seat_many(c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """Draws of the conditional by rejection: it is log-concave, so that it lies under its
+    greatest value around the mode and under exponentials, through two of its points, beyond."""
+    low, high = np.ones(len(c)), c - 1
+    mode = np.clip((theta + d * tables) * base * np.log(c) + 2, low, high)
+    for _ in range(60):
+        value, slope, bend = log_weight(mode, c, base, tables, d, theta)
+        low, high = np.where(slope > 0, mode, low), np.where(slope > 0, high, mode)
+        step = np.where(bend < 0, mode - slope / np.minimum(bend, -1e-300), np.nan)
+        after = np.where((step >= low) & (step <= high), step, (low + high) / 2)
+        if (np.abs(after - mode) < 0.01 / np.sqrt(np.maximum(-bend, 1e-3))).all():
+            break
+        mode = after
+    ends = log_weight(c, c, base, tables, d, theta)[0] > log_weight(c - 1, c, base, tables, d, theta)[0]
+    mode = np.where(ends, c, mode)
+    value, slope, bend = log_weight(mode, c, base, tables, d, theta)
+    wide = np.maximum(1.5, 1.5 / np.sqrt(np.maximum(-bend, 1e-12)))
+    wide = np.minimum(wide, np.maximum(1.5, 1.5 / np.maximum(np.abs(slope), 1e-9)))
+    left, right = np.maximum(mode - wide, 1), np.minimum(mode + wide, c)
+    first, last = np.ceil(left), np.floor(right)
+    fall = [np.maximum((value - log_weight(x, c, base, tables, d, theta)[0]) / np.maximum(np.abs(x - mode), 1e-9), 1e-9) for x in (left, right)]
+    mass = np.stack([
+        np.where(first > 1, np.exp(-fall[0] * (mode - first + 1)) / -np.expm1(-fall[0]), 0),
+        last - first + 1,
+        np.where(last < c, np.exp(-fall[1] * (last + 1 - mode)) / -np.expm1(-fall[1]), 0),
+    ])
+    upto = np.cumsum(mass, 0)
+    t, open_ = np.zeros(len(c), np.int64), np.arange(len(c))
+    while len(open_):
+        o = open_
+        at = rng.random(len(o)) * upto[2, o]
+        side = (at >= upto[0, o]).astype(int) + (at >= upto[1, o])
+        away = np.where(side == 0, fall[0][o], fall[1][o])
+        jump = np.floor(rng.exponential(size=len(o)) / away)
+        got = np.choose(side, [first[o] - 1 - jump, first[o] + np.floor(at - upto[0, o]), last[o] + 1 + jump])
+        over = np.choose(side, [-fall[0][o] * (mode[o] - got), np.zeros(len(o)), -fall[1][o] * (got - mode[o])])
+        inside = (got >= 1) & (got <= c[o])
+        here = log_weight(np.clip(got, 1, c[o]), c[o], base[o], tables[o], d, theta)[0]
+        taken = inside & (np.log(rng.random(len(o))) < here - value[o] - over)
+        t[o[taken]] = got[taken].astype(np.int64)
+        open_ = o[~taken]
+    return t
+
+
 def seat(c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
     """Draws the tables of each dish.
 
     c: its customers; base: its probability in the parent; tables: those of the
-    other dishes of its restaurant.  Beyond EXACT customers, more are seated by
-    doublings, with Poisson numbers of new tables.
+    other dishes of its restaurant.  Up to EXACT customers the weights are tabulated,
+    beyond they are integrated; both are the same conditional.
     """
     t = np.ones(len(c), np.int64)
     order = np.argsort(c, kind="stable")
@@ -72,8 +165,10 @@ def seat(c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, theta: f
     logs = stirling(d)
     start = int(np.searchsorted(sizes, 2))
     while start < len(order):
-        n = min(int(sizes[start]), EXACT)
-        end = int(np.searchsorted(sizes, n, "right")) if n < EXACT else len(order)
+        n = int(sizes[start])
+        if n > EXACT:
+            break
+        end = int(np.searchsorted(sizes, n, "right"))
         for a in range(start, end, max(1, (1 << 20) // n)):
             own = order[a : min(end, a + max(1, (1 << 20) // n))]
             steps = np.log(theta + d * (tables[own][:, None] + np.arange(n))) + np.log(base[own])[:, None]
@@ -83,14 +178,9 @@ def seat(c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, theta: f
             t[own] = 1 + (upto < (rng.random(len(own)) * upto[:, -1])[:, None]).sum(1).clip(max=n - 1)
         start = end
     big = np.flatnonzero(c > EXACT)
-    seated = np.full(len(big), EXACT, np.int64)
-    while len(big):
-        more = np.minimum(c[big], 2 * seated)
-        rate = (theta + d * (tables[big] + t[big])) * base[big]
-        mean = rate * np.log((more - d * t[big] + rate) / (seated - d * t[big] + rate))
-        t[big] += np.minimum(rng.poisson(mean), more - seated)
-        going = more < c[big]
-        big, seated = big[going], more[going]
+    for a in range(0, len(big), 1 << 13):
+        own = big[a : a + (1 << 13)]
+        t[own] = _seat_many(c[own].astype(np.float64), base[own], tables[own], d, theta, rng)
     return t
 
 
