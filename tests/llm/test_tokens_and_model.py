@@ -195,3 +195,25 @@ def test_unpacked_keys():
     key, at = H._keys(pa.array(["a b", "", None, "a"]))
     assert list(at) == [0, 2, 2, 2, 3] and key[0] == key[2] and key[0] >> np.uint64(H.BITS) == 0
     assert T.unpack(T.pack(key))[0].tolist() == key.tolist()
+
+
+def test_words_of_one_place_stay_apart(spark, docs_of):
+    """Before, words were hashed to 2**20 ids: a rare one took the counts of a frequent one of its id."""
+    words = [f"w{i}" for i in range(6000)]
+    place = (T.words(pa.array([" ".join(words)]))[0] % np.uint64(H.WORDS - 1)).tolist()
+    first, pair = {}, None
+    for w, p in zip(words, place):
+        pair = pair or ((first[p], w) if p in first else None)
+        first[p] = w
+    often, rare = pair
+    rows = [(i, f"x {often}") for i in range(40)] + [(50, f"x {rare}"), (51, "x other")]
+    found = {r.doc_id: r.log_prob for r in H.perplexity(docs_of(rows), parts=2).collect()}
+    assert abs(found[50] - found[51]) < 1e-4 and found[0] > found[50] + 1
+
+
+def test_vocabulary_grows_with_the_words():
+    hashes = T.mix(np.arange(H.WORDS + 100_000, dtype=np.uint64))
+    known = H.Vocabulary(hashes)
+    assert np.array_equal(np.sort(known(hashes)), np.arange(1, known.size)) and known.bits == 21
+    root = H.root_probability(np.r_[0, np.ones(len(hashes), np.int64)], 0.5, 10.0, np.random.default_rng(1))
+    assert len(root) == known.size and abs(root[1:].sum() - 1) < 1e-6

@@ -1,15 +1,17 @@
 """A hierarchical Pitman-Yor bigram model of the corpus, and each document's perplexity.
 
-Words are hashed to a vocabulary of 2**20 ids.  The word before is the context; every
+The vocabulary is that of the corpus: a first scan gathers the 64-bit hashes of its
+words, and a word's id is its rank among them, so no two share one (save for equal
+64-bit hashes) and all vectors by word grow with it.  The word before is the context; every
 context is a restaurant whose parent, shared by all, is the root restaurant, and the
-root's parent is uniform.  A customer at a new table of a context is a customer of the
+root's parent is uniform over 2**20 words, or all of them if there are more.  A customer at a new table of a context is a customer of the
 root.
 
 The seating is sampled by Gibbs.  Given the tables of all others, the number of tables
 of one dish in one restaurant has a known conditional (generalised Stirling numbers
 times the weights of new tables); it is drawn for all dishes of all restaurants of a
 partition at once, dishes of one customer having one table.  After each round the
-restaurants' tables and the root's customers, vectors of fixed size, are summed and the
+restaurants' tables and the root's customers, vectors of the size of the vocabulary, are summed and the
 root is seated anew.  The first rounds are burn-in; the predictive probabilities of the
 others are averaged.
 
@@ -21,6 +23,7 @@ weigh on a partition; these few are broadcast with their probabilities.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +35,12 @@ from tidemark import cluster
 from tidemark.llm import textops as T
 
 U64 = np.uint64
-BITS = 20
+BITS = 20  # of an id where there is no vocabulary
 WORDS = 1 << BITS
 FLUSH = 1 << 20
 EXACT = 256  # customers up to which the conditional is tabulated
 NODES, REACH = 40, 5.0  # of the integral beyond
 SLICE = 1 << 14
-_LOW = U64((1 << BITS) - 1)
-_KEY = U64((1 << 2 * BITS) - 1)
 
 _ROW = "part int, kind int, payload binary"
 _ROW_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -184,19 +185,85 @@ def seat(c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, theta: f
     return t
 
 
-def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bigram of each word (context above, word below; context 0 at a text's start), and offsets."""
+def _place(h: np.ndarray) -> np.ndarray:
+    return h % U64(WORDS - 1) + U64(1)
+
+
+class Vocabulary:
+    """Ids 1.. of the words of the corpus by rank; id 0 is a text's start."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.size = len(hashes) + 1
+        self.bits = max(1, int(len(hashes)).bit_length())
+        if self.bits > 32:
+            raise ValueError("over 2**32 - 1 distinct words: a pair of ids does not fit in 64 bits")
+        self.ids = np.empty(len(hashes), np.uint32)
+        self.ids[np.lexsort((self.hashes, _place(self.hashes)))] = np.arange(1, self.size, dtype=np.uint32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        one, inverse = np.unique(h, return_inverse=True)
+        return self.ids[np.searchsorted(self.hashes, one)].astype(U64)[inverse]
+
+
+def _keys(column: pa.Array, vocabulary: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The bigram of each word (context above, word below; context 0 at a text's start), and offsets.
+
+    Without a vocabulary an id is the word's place among 2**20, which words may share.
+    """
     h, at = T.words(column)
-    word = h % U64(WORDS - 1) + U64(1)
+    word = _place(h) if vocabulary is None else vocabulary(h)
     context = np.empty_like(word)
     context[1:] = word[:-1]
     context[at[:-1][np.diff(at) > 0]] = 0
-    return context << U64(BITS) | word, at
+    return context << U64(BITS if vocabulary is None else vocabulary.bits) | word, at
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return (((T.mix(key) >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
 
 
-def _placed(key: np.ndarray, parts: int) -> np.ndarray:
-    """Keys with their partition above."""
-    return ((T.mix(key) >> U64(32)) * U64(parts)) >> U64(32) << U64(2 * BITS) | key
+def _split(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of keys."""
+    return (key >> U64(bits)).astype(np.int64), (key & U64((1 << bits) - 1)).astype(np.int64)
+
+
+def _by_part(key: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Partitions, sorted, and the indices that sort keys so; keys of one partition are
+    sorted too, as far as both fit in 64 bits."""
+    part, room = _part(key, parts), 64 - int(parts).bit_length()
+    drop = max(0, 2 * bits - room)
+    at = _sorted(part.astype(U64) << U64(2 * bits - drop) | key >> U64(drop), 2 * bits - drop + int(parts).bit_length())
+    return part[at], at
+
+
+def _word_scan(parts: int):
+    """Texts to the distinct hashes of their words."""
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.unique(np.concatenate(held))
+        part = (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+        cuts = _cuts(part)
+        return _table([(int(part[s]), 0, T.pack(h[s:e])) for s, e in zip(cuts[:-1], cuts[1:])]).combine_chunks().to_batches()[0]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for piece in T.chunks(batch, "text"):
+                held.append(np.unique(T.words(piece.column("text"))[0]))
+                n += len(held[-1])
+                if n >= FLUSH:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return scan
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    h = np.unique(np.concatenate([T.unpack(x.as_py())[0] for x in table.column("payload")]))
+    return _table([(table.column("part")[0].as_py(), 0, T.pack(h))])
 
 
 def _cuts(part: np.ndarray) -> np.ndarray:
@@ -216,11 +283,11 @@ def _sorted(key: np.ndarray, bits: int) -> np.ndarray:
     return (packed & U64((1 << index) - 1)).astype(np.int64)
 
 
-def _vectors(*named: tuple[int, np.ndarray, np.ndarray]) -> list[tuple[int, int, bytes]]:
+def _vectors(size: int, *named: tuple[int, np.ndarray, np.ndarray]) -> list[tuple[int, int, bytes]]:
     """Sparse counts by id (kind, ids, counts) as rows of slices of the vocabulary."""
     out = []
     for kind, ids, n in named:
-        total = np.bincount(ids.astype(np.int64), n, WORDS)
+        total = np.bincount(ids.astype(np.int64), n, size)
         held = np.flatnonzero(total)
         cuts = _cuts(held // SLICE)
         out += [(int(held[s] // SLICE), kind, T.pack((held[s:e] % SLICE).astype(np.uint16), _small(total[held[s:e]].astype(np.int64)))) for s, e in zip(cuts[:-1], cuts[1:])]
@@ -232,21 +299,23 @@ def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], schema=_ROW_ARROW)
 
 
-def _type_scan(parts: int):
+def _type_scan(parts: int, vocabulary):
     """Texts to packed bigram types with counts."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, n = np.unique(_placed(np.concatenate(held), parts), return_counts=True)
-        part = (key >> U64(2 * BITS)).astype(np.int64)
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        part = _part(key, parts)
+        at = np.argsort(part, kind="stable")
+        part, key, n = part[at], key[at], n[at]
         cuts = _cuts(part)
-        rows = [(int(part[s]), 0, T.pack(key[s:e] & _KEY, _small(n[s:e]))) for s, e in zip(cuts[:-1], cuts[1:])]
+        rows = [(int(part[s]), 0, T.pack(key[s:e], _small(n[s:e]))) for s, e in zip(cuts[:-1], cuts[1:])]
         return _table(rows).to_batches()[0]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for piece in T.chunks(batch, "text"):
-                held.append(_keys(piece.column("text"))[0])
+                held.append(_keys(piece.column("text"), vocabulary.value)[0])
                 n += len(held[-1])
                 if n >= FLUSH:
                     yield flush(held)
@@ -257,22 +326,29 @@ def _type_scan(parts: int):
     return scan
 
 
-def _types(table: pa.Table) -> pa.Table:
+def _types(size: int, bits: int):
+    def types(table: pa.Table) -> pa.Table:
+        return _types_of(table, size, bits)
+
+    return types
+
+
+def _types_of(table: pa.Table, size: int, bits: int) -> pa.Table:
     """A partition's types: kind 0 the keys and counts of those of two customers or more;
     1 and 2 the customers and types by context, 3 the types by word, as vectors."""
     got = [T.unpack(x.as_py()) for x in table.column("payload")]
     key = np.concatenate([x[0] for x in got])
     n = np.concatenate([x[1].astype(np.int64) for x in got])
     del got
-    at = _sorted(key, 2 * BITS)
+    at = np.argsort(key)
     key, n = key[at], n[at]
     cuts = _cuts(key)
     key, n = key[cuts[:-1]], np.add.reduceat(n, cuts[:-1])
-    context, word, many = key >> U64(BITS), key & _LOW, n > 1
+    (context, word), many = _split(key, bits), n > 1
     part = table.column("part")[0].as_py()
     one = np.ones(len(key))
     rows = [(part, 0, T.pack(key[many], n[many]))] if many.any() else []
-    return _table(rows + _vectors((1, context, n), (2, context, one), (3, word, one)))
+    return _table(rows + _vectors(size, (1, context, n), (2, context, one), (3, word, one)))
 
 
 def _sum(table: pa.Table) -> pa.Table:
@@ -283,54 +359,56 @@ def _sum(table: pa.Table) -> pa.Table:
     return _table([(table.column("part")[0].as_py(), table.column("kind")[0].as_py(), T.pack(_small(total)))])
 
 
-def _collect(rows: DataFrame) -> dict[int, np.ndarray]:
+def _collect(rows: DataFrame, size: int) -> dict[int, np.ndarray]:
     """The summed vectors by kind; their size is that of the vocabulary."""
     out: dict[int, np.ndarray] = {}
     for r in rows.groupBy("part", "kind").applyInArrow(_sum, _ROW).collect():
-        out.setdefault(r.kind, np.zeros(WORDS, np.int64))[r.part * SLICE : (r.part + 1) * SLICE] = T.unpack(bytes(r.payload))[0]
-    return out
+        out.setdefault(r.kind, np.zeros(-(-size // SLICE) * SLICE, np.int64))[r.part * SLICE : (r.part + 1) * SLICE] = T.unpack(bytes(r.payload))[0]
+    return {kind: x[:size] for kind, x in out.items()}
 
 
 def root_probability(customers: np.ndarray, d: float, theta: float, rng: np.random.Generator, rounds: int = 3) -> np.ndarray:
     """Seats the root's customers and returns each word's probability there."""
-    held = np.flatnonzero(customers)
-    c = customers[held]
+    held, alone = np.flatnonzero(customers > 1), customers == 1
+    c, ones, total = customers[held].astype(np.int64), int(alone.sum()), int(customers.sum())
     t = np.ones(len(held), np.int64)
-    base = np.full(len(held), 1 / WORDS)
+    words = max(WORDS, len(customers))
+    base = np.full(len(held), 1 / words)
     for _ in range(rounds):
-        t = seat(c, base, np.full(len(held), t.sum()) - t, d, theta, rng)
-    p = np.full(WORDS, (theta + d * t.sum()) / (theta + c.sum()) / WORDS)
-    p[held] += (c - d * t) / (theta + c.sum())
+        t = seat(c, base, ones + t.sum() - t, d, theta, rng)
+    p = np.full(len(customers), (theta + d * (ones + t.sum())) / (theta + total) / words)
+    p[alone] += (1 - d) / (theta + total)
+    p[held] += (c - d * t) / (theta + total)
     return p
 
 
 def state(customers: np.ndarray, tables: np.ndarray, root: np.ndarray, number: int) -> tuple:
     """What a round leaves for seating and prediction: customers and tables by context, root probabilities, and its number."""
-    return customers.astype(np.float32), tables.astype(np.float32), root.astype(np.float32), number
+    return customers.astype(np.float32, copy=False), tables.astype(np.float32), root.astype(np.float32), number
 
 
-def _draw(fields: tuple, key: np.ndarray, n: np.ndarray, d: float, theta: float, seed: int) -> np.ndarray:
+def _draw(fields: tuple, key: np.ndarray, n: np.ndarray, d: float, theta: float, seed: int, bits: int = BITS) -> np.ndarray:
     """Tables of the types of a partition in a round; the same whenever it is drawn again."""
     _, tables, root, number = fields
-    rng = np.random.default_rng([seed, number, int(key[0] % U64(2**31)) if len(key) else 0, len(key)])
-    context, word = (key >> U64(BITS)).astype(np.int64), (key & _LOW).astype(np.int64)
+    rng = np.random.default_rng([seed, number, zlib.crc32(np.ascontiguousarray(n, np.int64)), len(key)])
+    context, word = _split(key, bits)
     return seat(n, root[word].astype(np.float64), np.maximum(tables[context].astype(np.float64) - 1, 0), d, theta, rng)
 
 
-def probabilities(states: list[tuple], key: np.ndarray, n: np.ndarray, d: float, theta: float, seed: int) -> np.ndarray:
+def probabilities(states: list[tuple], key: np.ndarray, n: np.ndarray, d: float, theta: float, seed: int, bits: int = BITS) -> np.ndarray:
     """The predictive probability of each type, averaged over samples: the tables
     drawn from each state, with the sums and the root that the next one has of them."""
-    context, word = (key >> U64(BITS)).astype(np.int64), (key & _LOW).astype(np.int64)
+    context, word = _split(key, bits)
     many = np.flatnonzero(n > 1)
     total = np.zeros(len(key))
     for drawn, (customers, tables, root, _) in zip(states[:-1], states[1:]):
         t = np.ones(len(key), np.int64)
-        t[many] = _draw(drawn, key[many], n[many], d, theta, seed)
+        t[many] = _draw(drawn, key[many], n[many], d, theta, seed, bits)
         total += (n - d * t + (theta + d * tables[context].astype(np.float64)) * root[word]) / (theta + customers[context].astype(np.float64))
     return total / (len(states) - 1)
 
 
-def _score_scan(parts: int, hot):
+def _score_scan(parts: int, hot, vocabulary):
     """Documents to packed bigrams by partition (kind 0), and the sums of the hot ones by document (kind 1)."""
 
     def flush(keys: list, docs: list, ids: list) -> pa.RecordBatch:
@@ -343,10 +421,8 @@ def _score_scan(parts: int, hot):
             many = np.bincount(doc[hit], minlength=len(doc_id))
             rows += _by_doc(doc_id, many, np.bincount(doc[hit], logs[at[hit]], len(doc_id)), parts)
             key, doc = key[~hit], doc[~hit]
-        placed = _placed(key, parts)
-        at = _sorted(placed, 2 * BITS + int(parts).bit_length())
-        part, key, doc = (placed[at] >> U64(2 * BITS)).astype(np.int64), key[at], doc[at]
-        # the sort drops low bits at need, never those of the partition
+        part, at = _by_part(key, parts, vocabulary.value.bits)
+        key, doc = key[at], doc[at]
         cuts = _cuts(part)
         for s, e in zip(cuts[:-1], cuts[1:]):
             here, index = np.unique(doc[s:e], return_inverse=True)
@@ -357,7 +433,7 @@ def _score_scan(parts: int, hot):
         keys, docs, ids, base, n = [], [], [], 0, 0
         for batch in batches:
             for piece in T.chunks(batch, "text"):
-                key, at = _keys(piece.column("text"))
+                key, at = _keys(piece.column("text"), vocabulary.value)
                 keys.append(key)
                 docs.append(T.owners(at) + base)
                 ids.append(piece.column("doc_id").to_numpy())
@@ -382,7 +458,7 @@ def _by_doc(doc_id: np.ndarray, n: np.ndarray, log_prob: np.ndarray, parts: int)
     return [(int(part[s]), 1, T.pack(doc_id[s:e], _small(n[s:e]), log_prob[s:e].astype(np.float32))) for s, e in zip(cuts[:-1], cuts[1:])]
 
 
-def _score(states, d: float, theta: float, parts: int, seed: int):
+def _score(states, d: float, theta: float, parts: int, seed: int, bits: int):
     """Bigrams of a partition of types to sums by document."""
 
     def score(table: pa.Table) -> pa.Table:
@@ -396,12 +472,12 @@ def _score(states, d: float, theta: float, parts: int, seed: int):
         base = np.cumsum([0] + [len(x[2]) for x in got])
         doc = np.concatenate([x[1].astype(np.int32) + np.int32(b) for x, b in zip(got, base)])
         del got
-        at = _sorted(key, 2 * BITS)
+        at = np.argsort(key)
         key, doc = key[at], doc[at]
         del at
         cuts = _cuts(key)
         n = np.diff(cuts)
-        logs = np.log(probabilities(states.value, key[cuts[:-1]], n, d, theta, seed))
+        logs = np.log(probabilities(states.value, key[cuts[:-1]], n, d, theta, seed, bits))
         sums = np.bincount(doc, np.repeat(logs, n), len(ids))
         return _table(passed + _by_doc(ids, np.bincount(doc, minlength=len(ids)), sums, parts))
 
@@ -429,11 +505,17 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
     spark = docs.sparkSession
     parts = parts or cluster.partitions(spark)
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cluster.written(spark, source.select("text").mapInArrow(_type_scan(parts), _ROW).groupBy("part").applyInArrow(_types, _ROW), "types")
-    sums = _collect(found.where("kind > 0"))
-    if not sums:
+    hashes = [T.unpack(bytes(r.payload))[0] for r in source.select("text").mapInArrow(_word_scan(parts), _ROW).groupBy("part").applyInArrow(_distinct, _ROW).collect()]
+    if not hashes:
         return spark.createDataFrame([], "doc_id bigint, n_words bigint, log_prob double, perplexity double")
-    customers, types, dishes = sums[1], sums[2], sums[3]
+    vocabulary = Vocabulary(np.concatenate(hashes))
+    del hashes
+    size, bits = vocabulary.size, vocabulary.bits
+    vocabulary = spark.sparkContext.broadcast(vocabulary)
+    found = cluster.written(spark, source.select("text").mapInArrow(_type_scan(parts, vocabulary), _ROW).groupBy("part").applyInArrow(_types(size, bits), _ROW), "types")
+    sums = _collect(found.where("kind > 0"), size)
+    least = max(2, -(-int(sums[1].sum()) // (8 * parts)))
+    customers, types, dishes = sums.pop(1).astype(np.float32), _small(sums.pop(2)), _small(sums.pop(3))
     multiple = found.where("kind = 0")
 
     rng = np.random.default_rng(seed)
@@ -444,35 +526,34 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
             states.append(now)
         if number < burn_in + samples:
             shared = spark.sparkContext.broadcast(now)
-            more = _collect(multiple.mapInArrow(_round(shared, d, theta, seed), _ROW))
+            more = _collect(multiple.mapInArrow(_round(shared, d, theta, seed, size, bits), _ROW), size)
             shared.destroy()
-            zero = np.zeros(WORDS, np.int64)
-            tables, arrivals = types + more.get(1, zero), dishes + more.get(2, zero)
+            tables, arrivals = (_small(x + more.pop(kind)) if kind in more else x for kind, x in ((1, types), (2, dishes)))
 
-    # at most 8 * parts types are so frequent
-    least = max(2, -(-int(customers.sum()) // (8 * parts)))
+    # at most 8 * parts types have least or more customers
     hot = sorted((r.key, r.n) for r in multiple.mapInArrow(_frequent(least), "key bigint, n bigint").collect())
     key, n = (np.array(x, k) for x, k in zip(zip(*hot), (U64, np.int64))) if hot else (np.zeros(0, U64), np.zeros(0, np.int64))
-    logs = np.log(probabilities(states, key, n, d, theta, seed))
-    scan = _score_scan(parts, spark.sparkContext.broadcast((key, logs)))
-    scored = source.mapInArrow(scan, _ROW).groupBy("part").applyInArrow(_score(spark.sparkContext.broadcast(states), d, theta, parts, seed), _ROW)
+    logs = np.log(probabilities(states, key, n, d, theta, seed, bits))
+    scan = _score_scan(parts, spark.sparkContext.broadcast((key, logs)), vocabulary)
+    scored = source.mapInArrow(scan, _ROW).groupBy("part").applyInArrow(_score(spark.sparkContext.broadcast(states), d, theta, parts, seed, bits), _ROW)
     rows = scored.groupBy("part").applyInArrow(_documents, "doc_id bigint, n_words bigint, log_prob double")
     return rows.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_words")))
 
 
-def _round(shared, d: float, theta: float, seed: int):
+def _round(shared, d: float, theta: float, seed: int, size: int, bits: int):
     """The tables beyond one of each type, by context (kind 1) and word (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_context, by_word = np.zeros(WORDS, np.int64), np.zeros(WORDS, np.int64)
+        by_context, by_word = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column("payload"):
                 key, n = T.unpack(x.as_py())
-                t = _draw(shared.value, key, n, d, theta, seed) - 1
-                by_context += np.bincount((key >> U64(BITS)).astype(np.int64), t, WORDS).astype(np.int64)
-                by_word += np.bincount((key & _LOW).astype(np.int64), t, WORDS).astype(np.int64)
+                t = _draw(shared.value, key, n, d, theta, seed, bits) - 1
+                context, word = _split(key, bits)
+                by_context += np.bincount(context, t, size).astype(np.int64)
+                by_word += np.bincount(word, t, size).astype(np.int64)
         at, w = np.flatnonzero(by_context), np.flatnonzero(by_word)
-        yield from _table(_vectors((1, at, by_context[at]), (2, w, by_word[w]))).to_batches()
+        yield from _table(_vectors(size, (1, at, by_context[at]), (2, w, by_word[w]))).to_batches()
 
     return run
 
