@@ -58,7 +58,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if "byte" not in _POW:
         _POW["byte"] = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
     if len(_POW.get("pow", ())) <= n:
-        size = max(2 * n, CHUNK) + 1
+        size = max(n, CHUNK + (CHUNK >> 2)) + 1
         for name, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base & _MASK, U64)
             steps[0] = 1
