@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark import cluster
 from tidemark.llm import textops as T
+from tidemark.llm.arrow import fresh, lean, lean_group, small_batches
 
 U64 = np.uint64
 RANGE = 4096  # documents are ordered within ranges of so many ids
@@ -86,6 +87,23 @@ def _pieces(length: int):
     return pieces
 
 
+def _begins(counts: DataFrame) -> DataFrame:
+    """``source, range, n`` with ``begin``, the tokens of the source in earlier ranges.
+
+    A prefix sum in two steps: ranges are sorted over all partitions, each sums its
+    own, and the sums of whole partitions, a few rows for each, are summed by source.
+    """
+    spark = counts.sparkSession
+    run, order = fresh("run"), fresh("before")
+    ranged = counts.repartitionByRange(cluster.partitions(spark), "source", "range").withColumn(run, F.spark_partition_id())
+    ranged = cluster.written(spark, ranged, "ranges")
+    inner = Window.partitionBy("source", run).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("source").orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ranged.groupBy("source", run).agg(F.sum("n").alias("n")).select("source", run, F.coalesce(F.sum("n").over(outer), F.lit(0)).alias(order))
+    within = ranged.withColumn("begin", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    return cluster.written(spark, within.join(earlier, ["source", run]).select("source", "range", "n", (F.col("begin") + F.col(order)).alias("begin")), "places")
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens: int = 1024, shard_blocks: int = 4096, total_blocks: int | None = None, temperature: float = 2.0, seed: int = 11) -> DataFrame:
     """Blocks in the order of the mixture: ``shard, slot, source, block, epoch, n, doc_ids, lang, text``.
 
@@ -104,6 +122,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     is empty.  Texts are read whole, other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     source = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -112,9 +131,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
         lang.alias("lang"),
         F.col("text").cast("string").alias("text"),
     )
-    counts = source.select("source", "range", "text").mapInArrow(_count, "source string, range bigint, n bigint").groupBy("source", "range").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    places = cluster.written(spark, counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))), "places")
+    counts = source.select("source", "range", "text").mapInArrow(lean(_count), "source string, range bigint, n bigint").groupBy("source", "range").agg(F.sum("n").alias("n"))
+    places = _begins(counts)
 
     totals = {r.source: r.n for r in places.groupBy("source").agg(F.sum("n").alias("n")).collect() if r.n}
     blocks = {s: -(-n // block_tokens) for s, n in totals.items()}
@@ -149,12 +167,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
 
     chosen = drawn.mapInArrow(slots, "shard bigint, source string, block bigint, epoch bigint, key bigint")
     chosen = chosen.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("key", "source", "epoch", "block")) - 1).drop("key")
+    # one row for each block of the result: written, so that its size is known, and never broadcast
+    chosen = cluster.written(spark, chosen, "slots").hint("merge")
 
     packed = (
         source.join(places.select("source", "range", "begin"), ["source", "range"])
         .select("source", "range", "begin", "doc_id", "lang", "text")
         .groupBy("source", "range")
-        .applyInArrow(_pieces(block_tokens), "source string, block bigint, at bigint, n bigint, doc_id bigint, lang string, text string")
+        .applyInArrow(lean_group(_pieces(block_tokens)), "source string, block bigint, at bigint, n bigint, doc_id bigint, lang string, text string")
     )
     whole = packed.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "lang", "text", "n"))).alias("p"))
     return chosen.join(whole, ["source", "block"]).select(
