@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops as T
-from tidemark.llm.arrow import HIDDEN, with_columns
+from tidemark.llm.arrow import HIDDEN, lean, small_batches, with_columns
 
 BINS = 4096
 FEATURES = BINS + 1
@@ -101,6 +101,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, dims: int = 64, seed: int = 7) -
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dims: int = 64) -> Model:
     """A model of ``per_class`` labelled documents of each class at most, those of
     least hash; this bound is the only part of the classifier that doesn't read all rows."""
+    small_batches(docs.sparkSession)
     known = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .groupBy(F.col("doc_id").cast("bigint").alias("id"))
@@ -121,13 +122,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dims: int =
                     rows = np.minimum(histograms(part.column("text")), 65535).astype(np.uint16)
                     yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "label", "counts"])
 
-    rows = {}
-    for r in texts.mapInArrow(count, "id bigint, label int, counts binary").collect():
-        if any(r.counts):
-            rows[r.id] = min(rows.get(r.id, (bytes(r.counts), r.label)), (bytes(r.counts), r.label))
-    order = sorted(rows)
-    counts = np.array([np.frombuffer(rows[i][0], np.uint16) for i in order], np.float32).reshape(-1, FEATURES)
-    return fit(counts, np.array([rows[i][1] for i in order], np.float64), dims)
+    # one histogram of each sampled document comes to the driver, however many rows it has
+    counted = texts.mapInArrow(lean(count), "id bigint, label int, counts binary")
+    rows = sorted((r.id, r.label, bytes(r.counts)) for r in counted.groupBy("id").agg(F.min("label").alias("label"), F.max("counts").alias("counts")).collect() if any(r.counts))
+    counts = np.array([np.frombuffer(c, np.uint16) for _, _, c in rows], np.float32).reshape(-1, FEATURES)
+    return fit(counts, np.array([label for _, label, _ in rows], np.float64), dims)
 
 
 def quality_votes(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dims: int = 64, neighbours: int = 15, threshold: float = 0.35, keep: list[str] | None = None) -> DataFrame:
@@ -140,8 +139,10 @@ def quality_votes(docs: DataFrame, labels: DataFrame, per_class: int = 1024, dim
     bytes, has no vector: its score is NULL and it is not kept.  Without any
     usable label every score is NULL and every text with a vector is kept.
     Labels that are NULL or not 0 or 1 don't count, conflicting labels of a
-    document count as 0, repeated rows are scored alike, and an empty table
-    stays empty.  Texts are read whole.
+    document count as 0; of the texts that share a labelled doc_id one, that of the
+    greatest histogram, is learnt from.  Repeated rows are scored alike, and an empty
+    table stays empty.  Texts are read whole.  Only ``quality`` is learnt: whether a
+    document is toxic plays no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(train(docs, labels, per_class, dims)))
 
