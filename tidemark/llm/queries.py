@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import leaked_pairs
 from tidemark.llm.language_id import identify_language
@@ -57,7 +58,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_by_groups(table(spark, sf_dir, "documents"), ["source", "lang"], shards=8).select("doc_id", "source", "lang", "bytes", "shard")
+    """Groups are the copies of one text in one source, which one shard must hold for its
+    copies to be found there: as many groups as the corpus has texts."""
+    docs = table(spark, sf_dir, "documents").withColumn("copies", F.xxhash64(F.lower("text")))
+    return shard_by_groups(docs, ["source", "copies"], shards=8).select("doc_id", "source", "copies", "bytes", "shard")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
