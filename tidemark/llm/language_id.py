@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import cluster
 from tidemark.llm import textops as T
-from tidemark.llm.arrow import HIDDEN, with_columns
+from tidemark.llm.arrow import HIDDEN, lean_group, small_batches, with_columns
 
 ORDERS = (4, 3, 2, 1)
 _COUNTS = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
@@ -126,19 +127,22 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = 500, min_count: int = 3, smoothing: float = 0.5) -> Model:
     """Counts a model on ``per_language`` documents of each language at most, those
-    of least hash.  The bound holds the model's size whatever the corpus holds."""
-    named = docs.where("lang is not null and text is not null and doc_id is not null")
-    languages = sorted(r[0] for r in named.select("lang").distinct().collect())
-    sample = None
-    for lang in languages:
-        part = named.where(F.col("lang") == lang).select(F.col("doc_id").cast("bigint").alias("id"), "lang").distinct().orderBy(F.xxhash64("id"), "id").limit(per_language)
-        sample = part if sample is None else sample.union(part)
+    of least hash, all rows of them.  A word is known from ``min_count`` occurrences
+    in a language on; character n-grams always are.  The bound holds the model's size
+    whatever the corpus holds."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    named = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("id is not null and lang is not null and text is not null")
+    # one scan for all languages; each task ranks its own before the shuffle
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    sample = cluster.written(spark, named.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("id", "lang").distinct(), "sample")
+    languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     model = Model(languages)
-    if sample is None:
+    if not languages:
         return model
-    # at most per_language rows of two short columns for each language
-    texts = named.select(F.col("doc_id").cast("bigint").alias("id"), "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), ["id", "lang"]).select("lang", "text")
-    counts = texts.groupBy("lang").applyInArrow(_count(min_count), "lang string, kind int, key bigint, n bigint").toArrow()
+    # at most per_language rows of two short columns for each language, in a table whose size Spark knows
+    texts = named.join(sample, ["id", "lang"]).select("lang", "text")
+    counts = texts.groupBy("lang").applyInArrow(lean_group(_count(min_count)), "lang string, kind int, key bigint, n bigint").toArrow()
     lang = np.searchsorted(np.array(languages), np.array(counts.column("lang").to_pylist(), dtype=str)) if counts.num_rows else np.zeros(0, np.int64)
     kind, key, n = (counts.column(c).to_numpy() for c in ("kind", "key", "n"))
     for k in (0, *ORDERS):
@@ -151,17 +155,20 @@ def train(docs: DataFrame, per_language: int = 500, min_count: int = 3, smoothin
     return model
 
 
-def identify_language(docs: DataFrame, per_language: int = 500, keep: list[str] | None = None, model: Model | None = None) -> DataFrame:
+def identify_language(docs: DataFrame, per_language: int = 500, keep: list[str] | None = None, model: Model | None = None, min_count: int = 3) -> DataFrame:
     """Adds ``lang_id``, the best language, and ``lang_confidence``, its share among
     the languages by mean word score.
 
-    The languages are those of the column ``lang`` of the training sample.  A text
+    The model is counted on ``per_language`` labelled documents of each language at
+    most, and knows the words that occur ``min_count`` times there; ``model`` takes
+    its place where one is given.  The languages are those of the column ``lang`` of
+    the training sample; docs without that column have none.  A text
     that is NULL or has no word, or a model without languages, gives NULL for both;
     of equal scores the first language by name wins.  ``keep`` names the columns of
     docs to return, all by default; columns of the added names are replaced.
     Repeated rows are scored alike, an empty table stays empty, texts are read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model or train(docs, per_language)))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model or (train(docs, per_language, min_count) if "lang" in docs.columns else Model([]))))
 
     def score(piece: pa.RecordBatch) -> list[pa.Array]:
         m = Model(**shared.value)
