@@ -3,10 +3,13 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidemark.llm import line_dedup as L
 from tidemark.llm import mixing as M
 from tidemark.llm import sharding as K
+from tidemark.llm import textops as T
 from tidemark.llm.line_dedup import line_dedup
 
 
@@ -22,6 +25,23 @@ def slow_dedup(rows, least=10):
     return out
 
 
+def test_filters_miss_nothing(spark):
+    """Whatever lies where: the twice filter holds each hash seen twice, the id filter each id."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(-(2**62), 2**62, 5000)
+    shared = L.id_filter(spark.createDataFrame([(int(i),) for i in ids], "id bigint"), len(ids))
+    assert L.inside(*shared, T.mix(ids.view(np.uint64))).all()
+    others = rng.integers(-(2**62), 2**62, 20_000)
+    assert L.inside(*shared, T.mix(others.view(np.uint64))).mean() < 0.02
+    h = T.mix(np.arange(4000, dtype=np.uint64))
+    held = np.concatenate([h, h[:500]])
+    doc, number = np.arange(len(held)), np.arange(len(held), dtype=np.uint32)
+    cut = 2200
+    table = pa.table([pa.array([0, 0]), pa.array([T.pack(held[s], doc[s], number[s]) for s in (slice(0, cut), slice(cut, None))], pa.binary())], names=["segment", "bits"])
+    found = set(L._probe(table).column("doc_id").to_pylist())
+    assert set(range(500)) | set(range(4000, 4500)) <= found and len(found) < 1300
+
+
 @pytest.mark.parametrize("limit", [512 << 20, 0])
 def test_lines_against_a_loop(docs_of, text_of, odd_rows, limit):
     rng = random.Random(6)
@@ -66,7 +86,7 @@ def test_differencing_is_tight():
     assert spread(got) < spread(greedy)
 
 
-@pytest.mark.parametrize("part", [1 << 15, 10])
+@pytest.mark.parametrize("part", [1 << 15, 10, 1])
 def test_groups_stay_whole(docs_of, text_of, odd_rows, part):
     rng = random.Random(8)
     rows = odd_rows + [(i, text_of(rng, rng.randint(1, 40)), rng.choice(["en", "fr", None]), rng.choice(["", None, "a", "b", "c", "d", "e"])) for i in range(200, 400)]
@@ -84,6 +104,21 @@ def test_groups_stay_whole(docs_of, text_of, odd_rows, part):
     assert {r.shard for r in K.shard_by_groups(docs_of([(1, None), (2, None)]), ["source"], 9).collect()} <= set(range(9))
 
 
+def test_the_tree_is_as_tight(spark):
+    """One leaf is differencing as a whole; with leaves of no more than 16 groups the spread stays under the largest group."""
+    rng = random.Random(12)
+    rows = [(f"k{i}", rng.randint(1, 10**6)) for i in range(3000)]
+    groups = spark.createDataFrame(rows, "key string, bytes bigint")
+    size = dict(rows)
+    for leaf, fan in ((1 << 12, 64), (16, 4)):
+        got = [0] * 8
+        found = K.assign_groups(groups, 8, leaf, fan).collect()
+        assert sorted(r.key for r in found) == sorted(size)
+        for r in found:
+            got[r.shard] += size[r.key]
+        assert spread(got) <= (10 if leaf > 3000 else max(size.values())), (leaf, got)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 17, 1000])
 def test_permutation(size):
     got = M.permuted(np.arange(size), size, 5)
