@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    made and set, once a session.
+    Where a session on one machine (``local[n]``, as in tests) names none, a temporary
+    folder is made and set, once a session; on a cluster that is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     context.setCheckpointDir(own)
