@@ -68,71 +68,187 @@ def test_stirling_numbers():
             assert abs(np.exp(s[c, t]) - slow[c, t]) < 1e-6
 
 
-def test_seating_has_its_conditional():
-    d, theta, base, others, c = 0.5, 2.0, 0.2, 3, 4
-    t = H.seat(np.full(40_000, c), np.full(40_000, base), np.full(40_000, others), d, theta, np.random.default_rng(1))
-    weight = np.array([np.exp(H.stirling(d)[c, k]) * base**k * np.prod([theta + d * (others + j) for j in range(k)]) for k in range(1, c + 1)])
-    assert np.abs(np.bincount(t, minlength=c + 1)[1:] / len(t) - weight / weight.sum()).max() < 0.015
-
-
-def test_seating_of_many_customers():
-    """Beyond the table the numbers follow a customer-by-customer seating."""
-    d, theta, base, others, c = 0.5, 2.0, 0.05, 100, 1000
-    rng = np.random.default_rng(2)
-    t = H.seat(np.full(2000, H.EXACT), np.full(2000, base), np.full(2000, others), d, theta, rng)
-    slow = t.copy()
-    for n in range(H.EXACT, c):
-        new = (theta + d * (others + slow)) * base
-        slow += rng.random(2000) < new / (new + n - d * slow)
-    got = H.seat(np.full(2000, c), np.full(2000, base), np.full(2000, others), d, theta, rng)
-    assert abs(got.mean() - slow.mean()) < 0.15 * slow.mean() and got.max() < c
-    assert H.seat(np.array([1]), np.array([0.1]), np.array([0]), d, theta, rng)[0] == 1
-
-
-@pytest.mark.parametrize(("d", "theta", "others", "base", "c"), [(0.75, 5.0, 20_000, 0.01, 2048), (0.75, 5.0, 2000, 0.05, 2048), (0.75, 5.0, 2000, 0.2, 2048), (0.75, 5.0, 0, 0.3, 512), (0.5, 10.0, 5000, 0.1, 512), (0.75, 5.0, 200_000, 0.3, 600), (0.5, 10.0, 100_000, 2.0**-20, 700)])
-def test_seating_of_many_customers_has_its_conditional(d, theta, others, base, c):
+def log_stirling(c, d):
+    """By the recurrence, of t = 0..c."""
     log_s = np.full(c + 1, -np.inf)
     log_s[0] = 0
     for k in range(1, c + 1):
         with np.errstate(divide="ignore"):
             log_s[1:] = np.logaddexp(log_s[:-1], np.log(np.maximum(k - 1 - np.arange(1, c + 1) * d, 0)) + log_s[1:])
         log_s[0] = -np.inf
-    t = np.arange(1, c + 1)
-    weight = log_s[1:] + np.cumsum(np.log(theta + d * (others + t - 1))) + t * np.log(base)
+    return log_s
+
+
+@pytest.mark.parametrize(
+    ("d", "g", "c"),
+    [(0.5, 0.7, 2), (0.5, 3.0, 4), (0.75, 1e-6, 30), (0.75, 20.0, 256), (0.75, 300.0, 2048), (0.75, 140.0, 2048), (0.75, 700.0, 2048), (0.75, 2.0, 512), (0.5, 1000.0, 512), (0.75, 80_000.0, 600), (0.5, 0.2, 700), (0.5, 1e-5, 700)],
+)
+def test_seating_has_its_conditional(d, g, c):
+    """Tabulated or integrated: the tables follow S_d(c, t) * (d * g)**t."""
+    n, t = 6000, np.arange(1, c + 1)
+    weight = log_stirling(c, d)[1:] + t * np.log(d * g)
     weight = np.exp(weight - weight.max())
     weight /= weight.sum()
-    mean, sd = (weight * t).sum(), np.sqrt((weight * t**2).sum() - (weight * t).sum() ** 2)
-    got = H.seat(np.full(4000, c), np.full(4000, base), np.full(4000, others), d, theta, np.random.default_rng(5))
-    assert abs(got.mean() - mean) < 5 * sd / np.sqrt(4000) + 1e-3 and abs(got.std() - sd) < 0.06 * sd + 0.02
-    assert np.abs(np.cumsum(np.bincount(got, minlength=c + 1)[1:] / 4000 - weight)).max() < 0.035
+    mean, sd = (weight * t).sum(), np.sqrt(max((weight * t**2).sum() - (weight * t).sum() ** 2, 0))
+    got = H.seat(np.full(n, c), np.full(n, g), d, H.Keyed(np.arange(n, dtype=np.uint64), 5, c))
+    assert abs(got.mean() - mean) < 5 * sd / np.sqrt(n) + 1e-3 and abs(got.std() - sd) < 0.06 * sd + 0.02
+    assert np.abs(np.cumsum(np.bincount(got, minlength=c + 1)[1:] / n - weight)).max() < 0.03
+    assert H.seat(np.array([1]), np.array([g]), d, H.Keyed(np.zeros(1, np.uint64)))[0] == 1
+
+
+@pytest.mark.parametrize(("tau", "d"), [(1e-3, 0.5), (0.4, 0.75), (1.0, 0.5), (37.5, 0.5)])
+def test_tempered_stable_has_its_transform(tau, d):
+    s = H.tempered_stable(np.full(40_000, tau), d, np.random.default_rng(8))
+    for q in (0.3, 1.0, 4.0):
+        values = np.exp(-q * s)
+        assert abs(values.mean() - np.exp(-tau * ((1 + q) ** d - 1))) < 5 * values.std() / 200 + 1e-6
+    assert abs(s.mean() - tau * d) < 5 * s.std() / 200
+
+
+def test_root_draws_have_its_predictions_as_mean():
+    customers = np.array([0, 1, 5, 1, 12, 40, 1])
+    root, drawn, told = H.Root(0.5, 3.0, 1), np.zeros(7), np.zeros(7)
+    for _ in range(6000):
+        p, g = root.step(customers)
+        told, drawn = told + p / 6000, drawn + g.astype(float) / 6000
+    assert np.abs(told - drawn).max() < 0.006
+    assert abs(told[1:].sum() + told[0] * (H.WORDS - 6) - 1) < 1e-4
+
+
+def test_draws_belong_to_types():
+    """A type has the same tables alone, among some and among all."""
+    rng = np.random.default_rng(9)
+    key = np.unique(rng.integers(1, 50, 900).astype(np.uint64) << np.uint64(H.BITS) | rng.integers(1, 90, 900).astype(np.uint64))
+    n = rng.integers(2, 900, len(key))
+    fields = rng.gamma(9, 3, H.WORDS).astype(np.float32), rng.random(H.WORDS).astype(np.float32), 4
+    whole = H._draw(fields, key, n, 0.75, 3)
+    assert whole.max() > 1
+    for own in (rng.permutation(len(key))[:100], np.flatnonzero(n < 300), np.array([7])):
+        assert np.array_equal(H._draw(fields, key[own], n[own], 0.75, 3), whole[own])
+    assert not np.array_equal(H._draw((*fields[:2], 5), key, n, 0.75, 3), whole)
+
+
+class Chain:
+    """The sampler on the driver, over all types at once, from plain counts."""
+
+    def __init__(self, counts, d, theta, root_d, root_theta, seed):
+        self.d, self.theta, self.seed = d, theta, seed
+        self.key = np.array(sorted(counts), np.uint64)
+        self.n = np.array([counts[int(k)] for k in self.key])
+        self.context, self.word = (self.key >> np.uint64(H.BITS)).astype(int), (self.key & np.uint64(H.WORDS - 1)).astype(int)
+        self.size = int(max(self.context.max(), self.word.max())) + 1
+        self.customers = np.bincount(self.context, self.n, self.size)
+        self.root, self.number, self.tables = H.Root(root_d, root_theta, seed), 0, np.bincount(self.context, minlength=self.size)
+        self.drawn = self.root.step(np.bincount(self.word, minlength=self.size))[1]
+
+    def step(self):
+        """A round; the predictive probability of each type, the root's probabilities and the tables by context after it."""
+        t, many = np.ones(len(self.key), int), self.n > 1
+        fields = H.context_x(self.tables, self.d, self.theta, self.seed, self.number), self.drawn, self.number
+        t[many] = H._draw(fields, self.key[many], self.n[many], self.d, self.seed)
+        self.tables = np.bincount(self.context, t, self.size).astype(int)
+        p, self.drawn = self.root.step(np.bincount(self.word, t, self.size).astype(int))
+        self.number += 1
+        return (self.n - self.d * t + (self.theta + self.d * self.tables[self.context]) * p[self.word]) / (self.theta + self.customers[self.context]), p, t
+
+
+def seated_one_by_one(tokens, d, theta, root_d, root_theta, rounds, rng):
+    """A sampler that shares nothing with the other: each customer leaves and sits down again, at a table of its own record."""
+    inner, outer = {}, {}  # sizes of tables: by (context, word), and of the root by word
+
+    def leave(tables, i):
+        tables[i] -= 1
+        if not tables[i]:
+            tables.pop(i)
+            return True
+        return False
+
+    def chosen(weights):
+        x = rng.random() * sum(weights)
+        for i, w in enumerate(weights):
+            x -= w
+            if x < 0:
+                return i
+        return len(weights) - 1
+
+    def root_p(w):
+        c, t = sum(map(sum, outer.values())), sum(map(len, outer.values()))
+        own = outer.get(w, [])
+        return (sum(own) - root_d * len(own) + (root_theta + root_d * t) / H.WORDS) / (root_theta + c)
+
+    def sit(u, w):
+        tables, t = inner.setdefault((u, w), []), sum(len(x) for (v, _), x in inner.items() if v == u)
+        k = chosen([s - d for s in tables] + [(theta + d * t) * root_p(w)])
+        if k < len(tables):
+            tables[k] += 1
+            return
+        tables.append(1)
+        above, t = outer.setdefault(w, []), sum(map(len, outer.values()))
+        k = chosen([s - root_d for s in above] + [(root_theta + root_d * t) / H.WORDS])
+        if k < len(above):
+            above[k] += 1
+        else:
+            above.append(1)
+
+    for u, w in tokens:
+        sit(u, w)
+    customers = Counter(u for u, _ in tokens)
+    total, tables_of = Counter(), Counter()
+    for r in range(rounds):
+        for u, w in tokens:
+            tables = inner[(u, w)]
+            # customers of a table are alike: the one that leaves sits at a table by its size
+            if leave(tables, chosen(tables)):
+                leave(outer[w], chosen(outer[w]))
+            sit(u, w)
+        if r >= rounds // 10:
+            for u, w in set(tokens):
+                t = sum(len(x) for (v, _), x in inner.items() if v == u)
+                own = inner[(u, w)]
+                total[(u, w)] += (sum(own) - d * len(own) + (theta + d * t) * root_p(w)) / (theta + customers[u]) / (rounds - rounds // 10)
+                tables_of[(u, w)] += len(own) / (rounds - rounds // 10)
+    return total, tables_of
+
+
+def test_sampler_against_one_by_one():
+    """The blocked sampler and a plain one of customers have the same posterior means."""
+    rng = random.Random(5)
+    tokens = [(1 + rng.randrange(4), 1 + min(rng.randrange(6), rng.randrange(6))) for _ in range(45)] + [(1, 3)] * 8
+    d, theta, root_d, root_theta = 0.6, 2.0, 0.4, 1.5
+    slow, slow_t = seated_one_by_one(tokens, d, theta, root_d, root_theta, 2500, random.Random(6))
+    chain = Chain(Counter(u << H.BITS | w for u, w in tokens), d, theta, root_d, root_theta, 7)
+    total, tables = 0.0, 0.0
+    for k in range(1700):
+        p, _, t = chain.step()
+        if k >= 200:
+            total, tables = total + p / 1500, tables + t / 1500
+    for u, w, p, t in zip(chain.context, chain.word, total, tables):
+        assert abs(p - slow[(u, w)]) < 0.012, (u, w, p, slow[(u, w)])
+        assert abs(t - slow_t[(u, w)]) < 0.15, (u, w, t, slow_t[(u, w)])
 
 
 def test_predictions_sum_to_one():
     rng = np.random.default_rng(3)
-    key = np.unique(rng.integers(1, 4, 60).astype(np.uint64) << np.uint64(H.BITS) | rng.integers(1, 12, 60).astype(np.uint64))
-    n = rng.integers(1, 6, len(key))
-    context, word = (key >> np.uint64(H.BITS)).astype(int), (key & np.uint64(H.WORDS - 1)).astype(int)
-    customers = np.bincount(context, n, H.WORDS)
-    d, theta = 0.6, 1.5
-    many = n > 1
-    tables, arrivals = np.bincount(context, minlength=H.WORDS), np.bincount(word, minlength=H.WORDS)
-    states = []
-    for k in range(3):
-        states.append(H.state(customers, tables, H.root_probability(arrivals, 0.5, 1.0, rng), k))
-        t = np.ones(len(key), int)
-        t[many] = H._draw(states[-1], key[many], n[many], d, theta, 0)
-        tables, arrivals = np.bincount(context, t, H.WORDS).astype(int), np.bincount(word, t, H.WORDS).astype(int)
-    for u in np.unique(context):
-        every = np.uint64(u) << np.uint64(H.BITS) | np.arange(H.WORDS, dtype=np.uint64)
-        # words without a customer in the context have none to take
-        seen = context == u
-        total = H.probabilities(states, key, n, d, theta, 0)[seen].sum()
-        rest = 0.0
-        for drawn, (cu, ta, root, _) in zip(states[:-1], states[1:]):
-            free = np.ones(H.WORDS, bool)
-            free[word[seen]] = False
-            rest += (theta + d * ta[u]) / (theta + cu[u]) * root[free].astype(float).sum()
-        assert len(every) == H.WORDS and abs(total + rest / 2 - 1) < 1e-3
+    counts = Counter((int(u) << H.BITS | int(w)) for u, w in zip(rng.integers(1, 4, 90), rng.integers(1, 12, 90)))
+    chain = Chain(counts, 0.6, 1.5, 0.5, 1.0, 0)
+    for _ in range(3):
+        seen, p, _ = chain.step()
+        for u in np.unique(chain.context):
+            own = chain.context == u
+            free = np.ones(chain.size, bool)
+            free[chain.word[own]] = False
+            # words that the corpus doesn't hold are as probable as id 0
+            rest = (1.5 + 0.6 * chain.tables[u]) / (1.5 + chain.customers[u]) * (p[free].astype(float).sum() + p[0] * (H.WORDS - chain.size))
+            assert abs(seen[own].sum() + rest - 1) < 1e-3
+
+
+def test_sorting_is_exact_at_any_size():
+    """Over 2**24 keys, whose low bits no index leaves room for: equal ones lie together, and counts are those of numpy."""
+    rng = np.random.default_rng(1)
+    key = rng.choice(T.mix(np.arange(200_000, dtype=np.uint64)) >> np.uint64(18), (1 << 24) + 5)
+    got = key[H.order(key)]
+    assert np.array_equal(got, np.sort(key))
+    assert len(H._cuts(got)) - 1 == len(np.unique(key))
 
 
 def bigrams(text):
@@ -144,7 +260,7 @@ def bigrams(text):
 def test_counts_and_sums(spark, docs_of, text_of, odd_rows, parts):
     """Without randomness (every type at one table) the scores follow from plain counts."""
     rng = random.Random(11)
-    rows = [r for r in odd_rows if r[0] not in (9, 10)] + [(i, " ".join(f"{w}{k}" for k, w in enumerate(text_of(rng, 12).split()))) for i in range(50, 90)]
+    rows = odd_rows + [(i, " ".join(f"{w}{k}" for k, w in enumerate(text_of(rng, 12).split()))) for i in range(50, 90)]
     found = {r.doc_id: r for r in H.perplexity(docs_of(rows).selectExpr("*", "1 as part", "2 as kind", "3 as log_prob"), parts=parts).collect()}
     n = Counter()
     for i, t, *_ in rows:
@@ -154,32 +270,32 @@ def test_counts_and_sums(spark, docs_of, text_of, odd_rows, parts):
     assert all(r.log_prob < 0 and abs(r.perplexity - np.exp(-r.log_prob / r.n_words)) < 1e-6 for r in found.values())
 
 
-def test_scores_against_brute_force(spark, docs_of, text_of):
-    """The same model rebuilt on the driver in one piece scores the documents the same."""
+@pytest.mark.parametrize("parts", [1, 3])
+def test_scores_against_a_chain_in_one_piece(spark, docs_of, text_of, parts):
+    """Plain counts and one chain on the driver score the documents as the partitions do, hot types and all."""
     rng = random.Random(12)
-    rows = [(i, text_of(rng, rng.randint(1, 60))) for i in range(60)]
-    found = {r.doc_id: r.log_prob for r in H.perplexity(docs_of(rows), parts=1, seed=4).collect()}
-    keys = [H._keys(pa.array([t]))[0] for _, t in rows]
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    context, word = (key >> np.uint64(H.BITS)).astype(int), (key & np.uint64(H.WORDS - 1)).astype(int)
-    customers = np.bincount(context, n, H.WORDS)
-    tables, arrivals = np.bincount(context, minlength=H.WORDS), np.bincount(word, minlength=H.WORDS)
-    random_, states, many = np.random.default_rng(4), [], n > 1
-    for number in range(6):
-        now = H.state(customers, tables, H.root_probability(arrivals, 0.5, 10.0, random_), number)
-        if number >= 2:
-            states.append(now)
-        t = np.ones(len(key), int)
-        t[many] = H._draw(now, key[many], n[many], 0.75, 5.0, 4)
-        tables, arrivals = np.bincount(context, t, H.WORDS).astype(int), np.bincount(word, t, H.WORDS).astype(int)
-    # the frequent types are drawn apart from the others
-    least = max(2, -(-int(customers.sum()) // 8))
-    logs = np.empty(len(key))
-    for own in (n >= least, n < least):
-        if own.any():
-            logs[own] = np.log(H.probabilities(states, key[own], n[own], 0.75, 5.0, 4))
-    for (i, _), k in zip(rows, keys):
-        assert abs(found[i] - logs[np.searchsorted(key, k)].sum()) < 1e-3 * max(1, len(k))
+    rows = [(i, text_of(rng, rng.randint(1, 60))) for i in range(60)] + [(70, "the of " * 300)]
+    found = {r.doc_id: r.log_prob for r in H.perplexity(docs_of(rows), parts=parts, seed=4).collect()}
+    known = H.Vocabulary(np.unique(T.words(pa.array([t for _, t in rows]))[0]))
+    keys = []
+    for _, text in rows:
+        words = known(T.words(pa.array([text]))[0]).astype(int).tolist()
+        keys.append([a << H.BITS | b for a, b in zip([0] + words, words)])
+    chain = Chain(Counter(k for own in keys for k in own), 0.75, 5.0, 0.5, 10.0, 4)
+    assert chain.key.max() < 1 << 2 * H.BITS
+    # the chain's keys have other bits, and so other draws: it takes those of the module's keys
+    narrow = (chain.key >> np.uint64(H.BITS) << np.uint64(known.bits)) | (chain.key & np.uint64(H.WORDS - 1))
+    chain_draw, total = H._draw, 0.0
+    try:
+        H._draw = lambda fields, key, n, d, seed, bits=H.BITS: chain_draw(fields, narrow[np.searchsorted(chain.key, key)], n, d, seed, known.bits)
+        for k in range(5):
+            p = chain.step()[0]
+            total = total + p / 3 if k >= 2 else 0.0
+    finally:
+        H._draw = chain_draw
+    logs = dict(zip(chain.key.tolist(), np.log(total)))
+    for (i, _), own in zip(rows, keys):
+        assert abs(found[i] - sum(logs[k] for k in own)) < 2e-3 * max(1, len(own))
 
 
 def test_repetition_is_expected(spark, docs_of, text_of):
@@ -215,5 +331,5 @@ def test_vocabulary_grows_with_the_words():
     hashes = T.mix(np.arange(H.WORDS + 100_000, dtype=np.uint64))
     known = H.Vocabulary(hashes)
     assert np.array_equal(np.sort(known(hashes)), np.arange(1, known.size)) and known.bits == 21
-    root = H.root_probability(np.r_[0, np.ones(len(hashes), np.int64)], 0.5, 10.0, np.random.default_rng(1))
-    assert len(root) == known.size and abs(root[1:].sum() - 1) < 1e-6
+    told, drawn = H.Root(0.5, 10.0, 1).step(np.r_[0, np.ones(len(hashes), np.int64)])
+    assert len(told) == len(drawn) == known.size and abs(told[1:].astype(float).sum() - 1) < 1e-4 and abs(drawn.astype(float).sum() - 1) < 1e-4

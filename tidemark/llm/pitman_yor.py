@@ -4,16 +4,19 @@ The vocabulary is that of the corpus: a first scan gathers the 64-bit hashes of
 words, and a word's id is its rank among them, so no two share one (save for equal
 64-bit hashes) and all vectors by word grow with it.  The word before is the context; every
 context is a restaurant whose parent, shared by all, is the root restaurant, and the
-root's parent is uniform over 2**20 words, or all of them if there are more.  A customer at a new table of a context is a customer of the
-root.
-
-The seating is sampled by Gibbs.  Given the tables of all others, the number of tables
-of one dish in one restaurant has a known conditional (generalised Stirling numbers
-times the weights of new tables); it is drawn for all dishes of all restaurants of a
-partition at once, dishes of one customer having one table.  After each round the
-restaurants' tables and the root's customers, vectors of the size of the vocabulary, are summed and the
-root is seated anew.  The first rounds are burn-in; the predictive probabilities of the
-others are averaged.
+root's parent is uniform over 2**20 words, or all of them if there are more.  A customer at
+a new table of a context is a customer of the root.
+
+The seating is sampled by blocked Gibbs steps, each from its exact conditional.  A draw of
+the root's distribution and of one positive number x for each context (of a gamma law of
+theta / d plus the context's tables: it turns the product of the weights of new tables into
+a power) makes the tables of all dishes of all contexts independent: t tables of a dish of c
+customers have the weight S_d(c, t) * (d * x * root)**t with a generalised Stirling number.
+Their sums are the root's customers; given these its tables are drawn by the same rule,
+then its x, then its distribution, as normalised sums of gamma and tempered stable numbers.
+The draw of a type depends on the type, the round and the seed alone, so whoever needs its
+tables, in any partition or subset, draws the same.  The first rounds are burn-in; the
+predictive probabilities of the others are averaged.
 
 What is gathered from the corpus are all its bigram types with their counts: they
 are packed, sorted and shuffled by type.  For scoring the bigrams of all documents are
@@ -23,7 +26,6 @@ weigh on a partition; these few are broadcast with their probabilities.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 
 from tidemark import cluster
 from tidemark.llm import textops as T
+from tidemark.llm.arrow import lean, lean_group, release, small_batches
+from tidemark.llm.ngram_jaccard import order
 
 U64 = np.uint64
 BITS = 20  # of an id where there is no vocabulary
@@ -61,9 +65,9 @@ def stirling(d: float) -> np.ndarray:
     return _STIRLING[d]
 
 
-def log_weight(t: np.ndarray, c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The log of S_d(c, t) * prod(theta + d * (tables + i), i < t) * base**t for real t, up to
-    a constant of the other arguments, and its first two derivatives by t.
+def log_weight(t: np.ndarray, c: np.ndarray, log_g: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log of S_d(c, t) * (d * g)**t for real t, up to a constant of the other
+    arguments, and its first two derivatives by t.
 
     S_d(c, t) is c! / (t! d**t) times the coefficient of z**c in (1 - (1 - z)**d)**t.  That is
     integrated along a parabola around the cut z > 1, with w = 1 - z, which crosses the real
@@ -89,12 +93,9 @@ def log_weight(t: np.ndarray, c: np.ndarray, base: np.ndarray, tables: np.ndarra
     total = term.real.sum(1)
     mean = (term * f).real.sum(1) / total
     square = (term * f * f).real.sum(1) / total
-    a = theta / d + tables
     # one customer a table: the coefficient is d**c
     inner = np.where(t > c - 0.01, c * np.log(d) - np.log(2 / np.pi * REACH / NODES), np.log(np.maximum(total, 1e-300)) + top)
-    value = inner + _gammaln(a + t) - _gammaln(t + 1) + t * np.log(base)
-    slope = mean + _digamma(a + t) - _digamma(t + 1) + np.log(base)
-    return value, slope, square - mean**2 + 1 / (a + t - 0.5) - 1 / (t + 0.5)
+    return inner - _gammaln(t + 1) + t * log_g, mean - _digamma(t + 1) + log_g, square - mean**2 - 1 / (t + 0.5)
 
 
 def _gammaln(x: np.ndarray) -> np.ndarray:
@@ -109,82 +110,116 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return np.log(y) - 0.5 / y - 1 / (12 * y**2) + 1 / (120 * y**4) - sum(1 / (x + k) for k in range(8))
 
 
-def _seat_many(c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+class Keyed:
+    """Uniform numbers that depend on a key, the place in a sequence and a salt alone."""
+
+    def __init__(self, key: np.ndarray, *salt: int):
+        base = np.zeros(1, U64)
+        for x in salt:
+            base = T.mix(base + U64(x + 1))
+        self.key = T.mix(key ^ base)
+
+    def __call__(self, at, number: int) -> np.ndarray:
+        h = T.mix(self.key[at] + U64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        return ((h >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _seat_many(c: np.ndarray, log_g: np.ndarray, d: float, uniform: Keyed, which: np.ndarray) -> np.ndarray:
     """Draws of the conditional by rejection: it is log-concave, so that it lies under its
     greatest value around the mode and under exponentials, through two of its points, beyond."""
     low, high = np.ones(len(c)), c - 1
-    mode = np.clip((theta + d * tables) * base * np.log(c) + 2, low, high)
+    mode = np.clip(d * np.exp(np.minimum(log_g, 500)) * np.log(c) + 2, low, high)
     for _ in range(60):
-        value, slope, bend = log_weight(mode, c, base, tables, d, theta)
+        value, slope, bend = log_weight(mode, c, log_g, d)
         low, high = np.where(slope > 0, mode, low), np.where(slope > 0, high, mode)
         step = np.where(bend < 0, mode - slope / np.minimum(bend, -1e-300), np.nan)
         after = np.where((step >= low) & (step <= high), step, (low + high) / 2)
         if (np.abs(after - mode) < 0.01 / np.sqrt(np.maximum(-bend, 1e-3))).all():
             break
         mode = after
-    ends = log_weight(c, c, base, tables, d, theta)[0] > log_weight(c - 1, c, base, tables, d, theta)[0]
+    ends = log_weight(c, c, log_g, d)[0] > log_weight(c - 1, c, log_g, d)[0]
     mode = np.where(ends, c, mode)
-    value, slope, bend = log_weight(mode, c, base, tables, d, theta)
+    value, slope, bend = log_weight(mode, c, log_g, d)
     wide = np.maximum(1.5, 1.5 / np.sqrt(np.maximum(-bend, 1e-12)))
     wide = np.minimum(wide, np.maximum(1.5, 1.5 / np.maximum(np.abs(slope), 1e-9)))
     left, right = np.maximum(mode - wide, 1), np.minimum(mode + wide, c)
     first, last = np.ceil(left), np.floor(right)
-    fall = [np.maximum((value - log_weight(x, c, base, tables, d, theta)[0]) / np.maximum(np.abs(x - mode), 1e-9), 1e-9) for x in (left, right)]
+    fall = [np.maximum((value - log_weight(x, c, log_g, d)[0]) / np.maximum(np.abs(x - mode), 1e-9), 1e-9) for x in (left, right)]
     mass = np.stack([
         np.where(first > 1, np.exp(-fall[0] * (mode - first + 1)) / -np.expm1(-fall[0]), 0),
         last - first + 1,
         np.where(last < c, np.exp(-fall[1] * (last + 1 - mode)) / -np.expm1(-fall[1]), 0),
     ])
     upto = np.cumsum(mass, 0)
-    t, open_ = np.zeros(len(c), np.int64), np.arange(len(c))
+    t, open_, number = np.zeros(len(c), np.int64), np.arange(len(c)), 0
     while len(open_):
         o = open_
-        at = rng.random(len(o)) * upto[2, o]
+        at = uniform(which[o], number) * upto[2, o]
         side = (at >= upto[0, o]).astype(int) + (at >= upto[1, o])
         away = np.where(side == 0, fall[0][o], fall[1][o])
-        jump = np.floor(rng.exponential(size=len(o)) / away)
+        jump = np.floor(-np.log(uniform(which[o], number + 1)) / away)
         got = np.choose(side, [first[o] - 1 - jump, first[o] + np.floor(at - upto[0, o]), last[o] + 1 + jump])
         over = np.choose(side, [-fall[0][o] * (mode[o] - got), np.zeros(len(o)), -fall[1][o] * (got - mode[o])])
         inside = (got >= 1) & (got <= c[o])
-        here = log_weight(np.clip(got, 1, c[o]), c[o], base[o], tables[o], d, theta)[0]
-        taken = inside & (np.log(rng.random(len(o))) < here - value[o] - over)
+        here = log_weight(np.clip(got, 1, c[o]), c[o], log_g[o], d)[0]
+        taken = inside & (np.log(uniform(which[o], number + 2)) < here - value[o] - over)
         t[o[taken]] = got[taken].astype(np.int64)
         open_ = o[~taken]
+        number += 3
     return t
 
 
-def seat(c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
-    """Draws the tables of each dish.
+def seat(c: np.ndarray, g: np.ndarray, d: float, uniform: Keyed) -> np.ndarray:
+    """Draws the tables of each dish, with weights S_d(c, t) * (d * g)**t.
 
-    c: its customers; base: its probability in the parent; tables: those of the
-    other dishes of its restaurant.  Up to EXACT customers the weights are tabulated,
-    beyond they are integrated; both are the same conditional.
+    c: its customers; g: its probability in the parent times its restaurant's x.  Up to
+    EXACT customers the weights are tabulated, beyond they are integrated; both are the
+    same conditional.
     """
     t = np.ones(len(c), np.int64)
-    order = np.argsort(c, kind="stable")
-    sizes = c[order]
+    log_g = np.log(np.maximum(g, 1e-300))
+    by = np.argsort(c, kind="stable")
+    sizes = c[by]
     logs = stirling(d)
     start = int(np.searchsorted(sizes, 2))
-    while start < len(order):
+    while start < len(by):
         n = int(sizes[start])
         if n > EXACT:
             break
         end = int(np.searchsorted(sizes, n, "right"))
-        for a in range(start, end, max(1, (1 << 20) // n)):
-            own = order[a : min(end, a + max(1, (1 << 20) // n))]
-            steps = np.log(theta + d * (tables[own][:, None] + np.arange(n))) + np.log(base[own])[:, None]
-            weight = np.cumsum(steps, 1) + logs[n, 1 : n + 1]
+        for a in range(start, end, max(1, (1 << 19) // n)):
+            own = by[a : min(end, a + max(1, (1 << 19) // n))]
+            weight = (log_g[own] + np.log(d))[:, None] * np.arange(1, n + 1) + logs[n, 1 : n + 1]
             weight = np.exp(weight - weight.max(1, keepdims=True))
             upto = np.cumsum(weight, 1)
-            t[own] = 1 + (upto < (rng.random(len(own)) * upto[:, -1])[:, None]).sum(1).clip(max=n - 1)
+            t[own] = 1 + (upto < (uniform(own, 0) * upto[:, -1])[:, None]).sum(1).clip(max=n - 1)
         start = end
     big = np.flatnonzero(c > EXACT)
     for a in range(0, len(big), 1 << 13):
         own = big[a : a + (1 << 13)]
-        t[own] = _seat_many(c[own].astype(np.float64), base[own], tables[own], d, theta, rng)
+        t[own] = _seat_many(c[own].astype(np.float64), log_g[own], d, uniform, own)
     return t
 
 
+def tempered_stable(tau: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Draws of the law of Laplace transform exp(-tau * ((1 + s)**d - 1)): stable numbers,
+    each taken with probability exp(-itself), summed over pieces of tau of at most 1."""
+    if len(tau) > SLICE << 3:
+        return np.concatenate([tempered_stable(tau[a : a + (SLICE << 3)], d, rng) for a in range(0, len(tau), SLICE << 3)])
+    pieces = np.maximum(np.ceil(tau), 1).astype(np.int64)
+    owner = np.repeat(np.arange(len(tau)), pieces)
+    each = (tau / pieces)[owner]
+    out, open_ = np.zeros(len(owner)), np.arange(len(owner))
+    while len(open_):
+        u = rng.random(len(open_)) * np.pi
+        with np.errstate(over="ignore"):
+            s = np.sin(d * u) / np.sin(u) ** (1 / d) * (np.sin((1 - d) * u) / rng.exponential(size=len(open_))) ** ((1 - d) / d) * each[open_] ** (1 / d)
+        taken = rng.random(len(open_)) < np.exp(-s)
+        out[open_[taken]] = s[taken]
+        open_ = open_[~taken]
+    return np.bincount(owner, out, len(tau))
+
+
 def _place(h: np.ndarray) -> np.ndarray:
     return h % U64(WORDS - 1) + U64(1)
 
@@ -340,7 +375,7 @@ def _types_of(table: pa.Table, size: int, bits: int) -> pa.Table:
     key = np.concatenate([x[0] for x in got])
     n = np.concatenate([x[1].astype(np.int64) for x in got])
     del got
-    at = np.argsort(key)
+    at = order(key)
     key, n = key[at], n[at]
     cuts = _cuts(key)
     key, n = key[cuts[:-1]], np.add.reduceat(n, cuts[:-1])
@@ -362,50 +397,65 @@ def _sum(table: pa.Table) -> pa.Table:
 def _collect(rows: DataFrame, size: int) -> dict[int, np.ndarray]:
     """The summed vectors by kind; their size is that of the vocabulary."""
     out: dict[int, np.ndarray] = {}
-    for r in rows.groupBy("part", "kind").applyInArrow(_sum, _ROW).collect():
+    for r in rows.groupBy("part", "kind").applyInArrow(lean_group(_sum), _ROW).collect():
         out.setdefault(r.kind, np.zeros(-(-size // SLICE) * SLICE, np.int64))[r.part * SLICE : (r.part + 1) * SLICE] = T.unpack(bytes(r.payload))[0]
     return {kind: x[:size] for kind, x in out.items()}
 
 
-def root_probability(customers: np.ndarray, d: float, theta: float, rng: np.random.Generator, rounds: int = 3) -> np.ndarray:
-    """Seats the root's customers and returns each word's probability there."""
-    held, alone = np.flatnonzero(customers > 1), customers == 1
-    c, ones, total = customers[held].astype(np.int64), int(alone.sum()), int(customers.sum())
-    t = np.ones(len(held), np.int64)
-    words = max(WORDS, len(customers))
-    base = np.full(len(held), 1 / words)
-    for _ in range(rounds):
-        t = seat(c, base, ones + t.sum() - t, d, theta, rng)
-    p = np.full(len(customers), (theta + d * (ones + t.sum())) / (theta + total) / words)
-    p[alone] += (1 - d) / (theta + total)
-    p[held] += (c - d * t) / (theta + total)
-    return p
-
-
-def state(customers: np.ndarray, tables: np.ndarray, root: np.ndarray, number: int) -> tuple:
-    """What a round leaves for seating and prediction: customers and tables by context, root probabilities, and its number."""
-    return customers.astype(np.float32, copy=False), tables.astype(np.float32), root.astype(np.float32), number
-
-
-def _draw(fields: tuple, key: np.ndarray, n: np.ndarray, d: float, theta: float, seed: int, bits: int = BITS) -> np.ndarray:
-    """Tables of the types of a partition in a round; the same whenever it is drawn again."""
-    _, tables, root, number = fields
-    rng = np.random.default_rng([seed, number, zlib.crc32(np.ascontiguousarray(n, np.int64)), len(key)])
+class Root:
+    """The root restaurant: its tables, x and distribution, one step a round."""
+
+    def __init__(self, d: float, theta: float, seed: int):
+        self.d, self.theta, self.seed, self.x, self.number = d, theta, seed, None, 0
+
+    def step(self, customers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Given its customers: each word's predictive probability by the new seating, and a draw of the distribution."""
+        d, theta = self.d, self.theta
+        rng = np.random.default_rng([self.seed, 1, self.number])
+        held = np.flatnonzero(customers)
+        c = customers[held].astype(np.int64)
+        words = max(WORDS, len(customers))
+        if self.x is None:
+            self.x = theta / d + len(held)
+        t = np.ones(len(held), np.int64)
+        several = np.flatnonzero(c > 1)
+        t[several] = seat(c[several], np.full(len(several), self.x / words), d, Keyed(held[several].astype(U64), self.seed, 2, self.number))
+        self.x = rng.standard_gamma(theta / d + t.sum())
+        mass = rng.standard_gamma(c - d * t) + tempered_stable(np.full(len(held), self.x / words), d, rng)
+        rest = tempered_stable(np.array([self.x * (1 - len(held) / words)]), d, rng)[0]
+        probability = np.full(len(customers), (theta + d * t.sum()) / (theta + c.sum()) / words)
+        probability[held] += (c - d * t) / (theta + c.sum())
+        drawn = np.zeros(len(customers))
+        drawn[held] = mass / (mass.sum() + rest)
+        self.number += 1
+        del c, t, mass
+        release()
+        return probability.astype(np.float32), drawn.astype(np.float32)
+
+
+def context_x(tables: np.ndarray, d: float, theta: float, seed: int, number: int) -> np.ndarray:
+    """The x of each context, given its tables."""
+    return np.random.default_rng([seed, 0, number]).standard_gamma(theta / d + tables).astype(np.float32)
+
+
+def _draw(fields: tuple, key: np.ndarray, n: np.ndarray, d: float, seed: int, bits: int = BITS) -> np.ndarray:
+    """Tables of types in a round (x by context, the root's distribution, the round); the same for a type whatever it is drawn with."""
+    x, root, number = fields
     context, word = _split(key, bits)
-    return seat(n, root[word].astype(np.float64), np.maximum(tables[context].astype(np.float64) - 1, 0), d, theta, rng)
+    return seat(n, x[context].astype(np.float64) * root[word], d, Keyed(key, seed, 3, number))
 
 
-def probabilities(states: list[tuple], key: np.ndarray, n: np.ndarray, d: float, theta: float, seed: int, bits: int = BITS) -> np.ndarray:
-    """The predictive probability of each type, averaged over samples: the tables
-    drawn from each state, with the sums and the root that the next one has of them."""
+def probabilities(samples: list[tuple], customers: np.ndarray, key: np.ndarray, n: np.ndarray, d: float, theta: float, seed: int, bits: int = BITS) -> np.ndarray:
+    """The predictive probability of each type, averaged over samples: of each what its
+    round drew from, and the tables by context and the root's probabilities after it."""
     context, word = _split(key, bits)
     many = np.flatnonzero(n > 1)
     total = np.zeros(len(key))
-    for drawn, (customers, tables, root, _) in zip(states[:-1], states[1:]):
+    for fields, tables, root in samples:
         t = np.ones(len(key), np.int64)
-        t[many] = _draw(drawn, key[many], n[many], d, theta, seed, bits)
+        t[many] = _draw(fields, key[many], n[many], d, seed, bits)
         total += (n - d * t + (theta + d * tables[context].astype(np.float64)) * root[word]) / (theta + customers[context].astype(np.float64))
-    return total / (len(states) - 1)
+    return total / len(samples)
 
 
 def _score_scan(parts: int, hot, vocabulary):
@@ -472,12 +522,12 @@ def _score(states, d: float, theta: float, parts: int, seed: int, bits: int):
         base = np.cumsum([0] + [len(x[2]) for x in got])
         doc = np.concatenate([x[1].astype(np.int32) + np.int32(b) for x, b in zip(got, base)])
         del got
-        at = np.argsort(key)
+        at = order(key)
         key, doc = key[at], doc[at]
         del at
         cuts = _cuts(key)
         n = np.diff(cuts)
-        logs = np.log(probabilities(states.value, key[cuts[:-1]], n, d, theta, seed, bits))
+        logs = np.log(probabilities(*states.value, key[cuts[:-1]], n, d, theta, seed, bits))
         sums = np.bincount(doc, np.repeat(logs, n), len(ids))
         return _table(passed + _by_doc(ids, np.bincount(doc, minlength=len(ids)), sums, parts))
 
@@ -503,44 +553,45 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
     empty table gives an empty result; texts are read whole, other columns not at all.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or cluster.partitions(spark)
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashes = [T.unpack(bytes(r.payload))[0] for r in source.select("text").mapInArrow(_word_scan(parts), _ROW).groupBy("part").applyInArrow(_distinct, _ROW).collect()]
+    hashes = [T.unpack(bytes(r.payload))[0] for r in source.select("text").mapInArrow(lean(_word_scan(parts)), _ROW).groupBy("part").applyInArrow(lean_group(_distinct), _ROW).collect()]
     if not hashes:
         return spark.createDataFrame([], "doc_id bigint, n_words bigint, log_prob double, perplexity double")
     vocabulary = Vocabulary(np.concatenate(hashes))
     del hashes
     size, bits = vocabulary.size, vocabulary.bits
     vocabulary = spark.sparkContext.broadcast(vocabulary)
-    found = cluster.written(spark, source.select("text").mapInArrow(_type_scan(parts, vocabulary), _ROW).groupBy("part").applyInArrow(_types(size, bits), _ROW), "types")
+    found = cluster.written(spark, source.select("text").mapInArrow(lean(_type_scan(parts, vocabulary)), _ROW).groupBy("part").applyInArrow(lean_group(_types(size, bits)), _ROW), "types")
     sums = _collect(found.where("kind > 0"), size)
     least = max(2, -(-int(sums[1].sum()) // (8 * parts)))
     customers, types, dishes = sums.pop(1).astype(np.float32), _small(sums.pop(2)), _small(sums.pop(3))
     multiple = found.where("kind = 0")
 
-    rng = np.random.default_rng(seed)
-    tables, arrivals, states = types, dishes, []
-    for number in range(burn_in + samples + 1):
-        now = state(customers, tables, root_probability(arrivals, root_d, root_theta, rng), number)
+    root, kept, tables = Root(root_d, root_theta, seed), [], types
+    _, drawn = root.step(dishes)
+    for number in range(burn_in + samples):
+        fields = context_x(tables, d, theta, seed, number), drawn, number
+        shared = spark.sparkContext.broadcast(fields)
+        more = _collect(multiple.mapInArrow(lean(_round(shared, d, seed, size, bits)), _ROW), size)
+        shared.destroy()
+        tables, arrivals = (_small(x + more.pop(kind)) if kind in more else x for kind, x in ((1, types), (2, dishes)))
+        probability, drawn = root.step(arrivals)
         if number >= burn_in:
-            states.append(now)
-        if number < burn_in + samples:
-            shared = spark.sparkContext.broadcast(now)
-            more = _collect(multiple.mapInArrow(_round(shared, d, theta, seed, size, bits), _ROW), size)
-            shared.destroy()
-            tables, arrivals = (_small(x + more.pop(kind)) if kind in more else x for kind, x in ((1, types), (2, dishes)))
+            kept.append((fields, tables.astype(np.float32), probability))
 
     # at most 8 * parts types have least or more customers
-    hot = sorted((r.key, r.n) for r in multiple.mapInArrow(_frequent(least), "key bigint, n bigint").collect())
+    hot = sorted((r.key % (1 << 64), r.n) for r in multiple.mapInArrow(lean(_frequent(least)), "key bigint, n bigint").collect())
     key, n = (np.array(x, k) for x, k in zip(zip(*hot), (U64, np.int64))) if hot else (np.zeros(0, U64), np.zeros(0, np.int64))
-    logs = np.log(probabilities(states, key, n, d, theta, seed, bits))
+    logs = np.log(probabilities(kept, customers, key, n, d, theta, seed, bits))
     scan = _score_scan(parts, spark.sparkContext.broadcast((key, logs)), vocabulary)
-    scored = source.mapInArrow(scan, _ROW).groupBy("part").applyInArrow(_score(spark.sparkContext.broadcast(states), d, theta, parts, seed, bits), _ROW)
+    scored = source.mapInArrow(lean(scan), _ROW).groupBy("part").applyInArrow(lean_group(_score(spark.sparkContext.broadcast((kept, customers)), d, theta, parts, seed, bits)), _ROW)
     rows = scored.groupBy("part").applyInArrow(_documents, "doc_id bigint, n_words bigint, log_prob double")
     return rows.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_words")))
 
 
-def _round(shared, d: float, theta: float, seed: int, size: int, bits: int):
+def _round(shared, d: float, seed: int, size: int, bits: int):
     """The tables beyond one of each type, by context (kind 1) and word (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,7 +599,7 @@ def _round(shared, d: float, theta: float, seed: int, size: int, bits: int):
         for batch in batches:
             for x in batch.column("payload"):
                 key, n = T.unpack(x.as_py())
-                t = _draw(shared.value, key, n, d, theta, seed, bits) - 1
+                t = _draw(shared.value, key, n, d, seed, bits) - 1
                 context, word = _split(key, bits)
                 by_context += np.bincount(context, t, size).astype(np.int64)
                 by_word += np.bincount(word, t, size).astype(np.int64)
