@@ -204,8 +204,6 @@ def seat(c: np.ndarray, g: np.ndarray, d: float, uniform: Keyed) -> np.ndarray:
 def tempered_stable(tau: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Draws of the law of Laplace transform exp(-tau * ((1 + s)**d - 1)): stable numbers,
     each taken with probability exp(-itself), summed over pieces of tau of at most 1."""
-    if len(tau) > SLICE << 3:
-        return np.concatenate([tempered_stable(tau[a : a + (SLICE << 3)], d, rng) for a in range(0, len(tau), SLICE << 3)])
     pieces = np.maximum(np.ceil(tau), 1).astype(np.int64)
     owner = np.repeat(np.arange(len(tau)), pieces)
     each = (tau / pieces)[owner]
@@ -410,32 +408,42 @@ class Root:
 
     def step(self, customers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Given its customers: each word's predictive probability by the new seating, and a draw of the distribution."""
-        d, theta = self.d, self.theta
+        d, theta, size = self.d, self.theta, len(customers)
         rng = np.random.default_rng([self.seed, 1, self.number])
-        held = np.flatnonzero(customers)
-        c = customers[held].astype(np.int64)
-        words = max(WORDS, len(customers))
+        words, held, total = max(WORDS, size), int(np.count_nonzero(customers)), int(customers.sum())
         if self.x is None:
-            self.x = theta / d + len(held)
-        t = np.ones(len(held), np.int64)
-        several = np.flatnonzero(c > 1)
-        t[several] = seat(c[several], np.full(len(several), self.x / words), d, Keyed(held[several].astype(U64), self.seed, 2, self.number))
-        self.x = rng.standard_gamma(theta / d + t.sum())
-        mass = rng.standard_gamma(c - d * t) + tempered_stable(np.full(len(held), self.x / words), d, rng)
-        rest = tempered_stable(np.array([self.x * (1 - len(held) / words)]), d, rng)[0]
-        probability = np.full(len(customers), (theta + d * t.sum()) / (theta + c.sum()) / words)
-        probability[held] += (c - d * t) / (theta + c.sum())
-        drawn = np.zeros(len(customers))
-        drawn[held] = mass / (mass.sum() + rest)
+            self.x = theta / d + held
+        # slice by slice: only vectors of small numbers are as long as the vocabulary
+        t = np.zeros(size, np.uint32)
+        for own in _slices(size):
+            several = np.flatnonzero(customers[own] > 1)
+            t[own] = customers[own] > 0
+            t[own][several] = seat(customers[own][several].astype(np.int64), np.full(len(several), self.x / words), d, Keyed((several + own.start).astype(U64), self.seed, 2, self.number))
+        tables = int(t.sum())
+        self.x = rng.standard_gamma(theta / d + tables)
+        probability, drawn, mass = np.empty(size, np.float32), np.zeros(size, np.float32), 0.0
+        for own in _slices(size):
+            some = np.flatnonzero(t[own])
+            left = customers[own][some].astype(np.int64) - d * t[own][some]
+            probability[own] = (theta + d * tables) / (theta + total) / words
+            probability[own][some] += left / (theta + total)
+            got = rng.standard_gamma(left) + tempered_stable(np.full(len(some), self.x / words), d, rng)
+            drawn[own][some] = got
+            mass += got.sum()
+        drawn /= np.float32(mass + tempered_stable(np.array([self.x * (1 - held / words)]), d, rng)[0])
         self.number += 1
-        del c, t, mass
         release()
-        return probability.astype(np.float32), drawn.astype(np.float32)
+        return probability, drawn
+
+
+def _slices(size: int) -> list[slice]:
+    return [slice(a, min(size, a + (SLICE << 3))) for a in range(0, size, SLICE << 3)]
 
 
 def context_x(tables: np.ndarray, d: float, theta: float, seed: int, number: int) -> np.ndarray:
     """The x of each context, given its tables."""
-    return np.random.default_rng([seed, 0, number]).standard_gamma(theta / d + tables).astype(np.float32)
+    rng = np.random.default_rng([seed, 0, number])
+    return np.concatenate([rng.standard_gamma(theta / d + tables[own].astype(np.float64)).astype(np.float32) for own in _slices(len(tables))])
 
 
 def _draw(fields: tuple, key: np.ndarray, n: np.ndarray, d: float, seed: int, bits: int = BITS) -> np.ndarray:
@@ -508,7 +516,7 @@ def _by_doc(doc_id: np.ndarray, n: np.ndarray, log_prob: np.ndarray, parts: int)
     return [(int(part[s]), 1, T.pack(doc_id[s:e], _small(n[s:e]), log_prob[s:e].astype(np.float32))) for s, e in zip(cuts[:-1], cuts[1:])]
 
 
-def _score(states, d: float, theta: float, parts: int, seed: int, bits: int):
+def _score(kept: list, customers, d: float, theta: float, parts: int, seed: int, bits: int):
     """Bigrams of a partition of types to sums by document."""
 
     def score(table: pa.Table) -> pa.Table:
@@ -527,7 +535,7 @@ def _score(states, d: float, theta: float, parts: int, seed: int, bits: int):
         del at
         cuts = _cuts(key)
         n = np.diff(cuts)
-        logs = np.log(probabilities(*states.value, key[cuts[:-1]], n, d, theta, seed, bits))
+        logs = np.log(probabilities([x.value for x in kept], customers.value, key[cuts[:-1]], n, d, theta, seed, bits))
         sums = np.bincount(doc, np.repeat(logs, n), len(ids))
         return _table(passed + _by_doc(ids, np.bincount(doc, minlength=len(ids)), sums, parts))
 
@@ -561,6 +569,7 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
         return spark.createDataFrame([], "doc_id bigint, n_words bigint, log_prob double, perplexity double")
     vocabulary = Vocabulary(np.concatenate(hashes))
     del hashes
+    release()
     size, bits = vocabulary.size, vocabulary.bits
     vocabulary = spark.sparkContext.broadcast(vocabulary)
     found = cluster.written(spark, source.select("text").mapInArrow(lean(_type_scan(parts, vocabulary)), _ROW).groupBy("part").applyInArrow(lean_group(_types(size, bits)), _ROW), "types")
@@ -568,6 +577,9 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
     least = max(2, -(-int(sums[1].sum()) // (8 * parts)))
     customers, types, dishes = sums.pop(1).astype(np.float32), _small(sums.pop(2)), _small(sums.pop(3))
     multiple = found.where("kind = 0")
+    shared_customers = spark.sparkContext.broadcast(customers)
+    del customers, sums
+    release()
 
     root, kept, tables = Root(root_d, root_theta, seed), [], types
     _, drawn = root.step(dishes)
@@ -579,14 +591,16 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
         tables, arrivals = (_small(x + more.pop(kind)) if kind in more else x for kind, x in ((1, types), (2, dishes)))
         probability, drawn = root.step(arrivals)
         if number >= burn_in:
-            kept.append((fields, tables.astype(np.float32), probability))
+            # the driver keeps none of them
+            kept.append(spark.sparkContext.broadcast((fields, tables, probability)))
+        del fields, more, probability
 
     # at most 8 * parts types have least or more customers
-    hot = sorted((r.key % (1 << 64), r.n) for r in multiple.mapInArrow(lean(_frequent(least)), "key bigint, n bigint").collect())
-    key, n = (np.array(x, k) for x, k in zip(zip(*hot), (U64, np.int64))) if hot else (np.zeros(0, U64), np.zeros(0, np.int64))
-    logs = np.log(probabilities(kept, customers, key, n, d, theta, seed, bits))
-    scan = _score_scan(parts, spark.sparkContext.broadcast((key, logs)), vocabulary)
-    scored = source.mapInArrow(lean(scan), _ROW).groupBy("part").applyInArrow(lean_group(_score(spark.sparkContext.broadcast((kept, customers)), d, theta, parts, seed, bits)), _ROW)
+    hot = sorted((r.key, r.log_prob) for r in multiple.mapInArrow(lean(_frequent(least, kept, shared_customers, d, theta, seed, bits)), "key bigint, log_prob double").collect())
+    key, logs = (np.array(x, k) for x, k in zip(zip(*hot), (np.int64, np.float64))) if hot else (np.zeros(0, np.int64), np.zeros(0))
+    hot = key.view(U64), logs
+    scan = _score_scan(parts, spark.sparkContext.broadcast(hot), vocabulary)
+    scored = source.mapInArrow(lean(scan), _ROW).groupBy("part").applyInArrow(lean_group(_score(kept, shared_customers, d, theta, parts, seed, bits)), _ROW)
     rows = scored.groupBy("part").applyInArrow(_documents, "doc_id bigint, n_words bigint, log_prob double")
     return rows.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_words")))
 
@@ -609,11 +623,16 @@ def _round(shared, d: float, seed: int, size: int, bits: int):
     return run
 
 
-def _frequent(least: int):
+def _frequent(least: int, kept: list, customers, d: float, theta: float, seed: int, bits: int):
+    """The types of least customers or more, with the logs of their probabilities."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column("payload"):
                 key, n = T.unpack(x.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(key[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["key", "n"])
+                key, n = key[n >= least], n[n >= least]
+                if len(key):
+                    logs = np.log(probabilities([x.value for x in kept], customers.value, key, n, d, theta, seed, bits))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(logs)], names=["key", "log_prob"])
 
     return run
