@@ -282,7 +282,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, filter_bytes: int = 64 << 2
     key = F.col("doc_id").cast("bigint")
 
     def cleaned(part: DataFrame) -> DataFrame:
-        joined = part.join(gone, key == F.col(id_), "left")
+        # merged at every size: the ids that lose lines grow with the corpus
+        joined = part.join(gone.hint("merge"), key == F.col(id_), "left")
         kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i))
         text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
         return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).alias("lines_removed"))
