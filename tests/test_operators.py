@@ -212,6 +212,8 @@ def test_wav_files(spark, tmp_path):
     assert np.allclose(rows["c.wav", 0], (x[:100] // 256) / 128)
     out = wav.write_wav(blocks.where("file_id like '%a.wav'"), str(tmp_path / "out")).collect()
     assert np.array_equal(wav.parse((tmp_path / "out" / "a.wav").read_bytes())[1], x) and out[0].num_samples == 20_000
+    with pytest.raises(ValueError, match="both"):
+        wav.write_wav(spark.createDataFrame([("/x/a/r.wav", 0, [0.1]), ("/x/b/r.wav", 0, [0.2])], wav.BLOCK_SCHEMA), str(tmp_path / "clash"))
     with wav.StreamWriter(str(tmp_path / "s.wav")) as w:
         w.write(x[:100])
         w.write(x[100:300])

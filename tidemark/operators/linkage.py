@@ -6,7 +6,6 @@ array per row; each merge updates one row by the Lance-Williams rule of the meth
 
 from __future__ import annotations
 
-from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -196,16 +195,48 @@ def best_matching(similarity: np.ndarray) -> np.ndarray:
     """For each row its column in the matching of greatest sum, -2 without one; NaN counts as the least."""
     s = np.where(np.isnan(similarity), np.nanmin(similarity) if not np.isnan(similarity).all() else 0, similarity)
     rows, columns = s.shape
+    cost = -s if rows <= columns else -s.T
+    held = _shortest_paths(cost)
     out = np.full(rows, -2, np.int64)
     if rows <= columns:
-        pick = max(permutations(range(columns), rows), key=lambda p: s[range(rows), p].sum())
-        out[:] = pick
+        out[:] = held
     else:
-        pick = max(permutations(range(rows), columns), key=lambda p: s[p, range(columns)].sum())
-        out[list(pick)] = range(columns)
+        out[held] = np.arange(columns)
     return out
 
 
+def _shortest_paths(cost: np.ndarray) -> np.ndarray:
+    """The column of each row in the assignment of least cost, no more rows than columns:
+    rows are added one by one, each along the cheapest augmenting path by reduced costs."""
+    n, m = cost.shape
+    by_row, by_column = np.zeros(n), np.zeros(m)
+    owner = np.full(m, -1)
+    for row in range(n):
+        reach, before, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        i, j, base = row, -1, 0.0
+        while True:
+            through = base + cost[i] - by_row[i] - by_column
+            closer = ~done & (through < reach)
+            reach[closer], before[closer] = through[closer], j
+            j = int(np.where(done, np.inf, reach).argmin())
+            base = reach[j]
+            if owner[j] < 0:
+                break
+            done[j] = True
+            i = owner[j]
+        by_row[row] += base
+        by_row[owner[done]] += base - reach[done]
+        by_column[done] -= base - reach[done]
+        while True:
+            last = before[j]
+            if last < 0:
+                owner[j] = row
+                break
+            owner[j] = owner[last]
+            j = last
+    out = np.empty(n, np.int64)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
 
 
 def dendrogram(vectors: DataFrame, group: str, order: str, vector: str, method: str = "centroid") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -416,17 +415,17 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(A.normalise("embedding")).alias("d", "v")).withColumn("v", F.round("v", 6))
 
 
-@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 300)
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_distance(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id""")
 def pairwise_euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = table(spark, sf_dir, "embeddings").where("vec_id < 300")
+    few = table(spark, sf_dir, "embeddings")
     return vectors.pairwise(few, ["label"], "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
 
 
-@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 150)
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT a.label AS a, b.label AS b, round(min(list_distance(a.v, b.v)), 6) AS distance FROM e a JOIN e b ON a.label < b.label GROUP BY a.label, b.label""")
 def cluster_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = table(spark, sf_dir, "embeddings").where("vec_id < 150")
+    few = table(spark, sf_dir, "embeddings")
     return vectors.cluster_distances(few, [], "vec_id", "embedding", "label").withColumn("distance", F.round("distance", 6))
 
 
@@ -473,33 +472,39 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cluster_sizes(table(spark, sf_dir, "embeddings"), "label").withColumn("least", A.min_cluster_size("n"))
 
 
-@query("""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 500),
+@query("""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ed AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label WHERE list_distance(a.v, b.v) <= 0.95e0),
 r(label, i, j) AS (SELECT label, i, j FROM ed UNION SELECT r.label, r.i, ed.j FROM r JOIN ed ON ed.label = r.label AND ed.i = r.j)
 SELECT label, i AS vec_id, min(j) AS root FROM r GROUP BY label, i""")
 def single_link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500")
+    e = table(spark, sf_dir, "embeddings")
     flat = linkage.flat_clusters(e, "label", "vec_id", "embedding", 0.95, "single")
     return flat.select("label", "vec_id", F.min("vec_id").over(Window.partitionBy("label", "cluster")).alias("root"))
 
 
 @query()
 def linkage_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.dendrogram(table(spark, sf_dir, "embeddings").where("vec_id < 500"), "label", "vec_id", "embedding")
+    return linkage.dendrogram(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
 @query()
 def fcluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.flat_clusters(table(spark, sf_dir, "embeddings").where("vec_id < 500"), "label", "vec_id", "embedding", 1.0)
+    return linkage.flat_clusters(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 1.0)
 
 
 @query()
 def cluster_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500").withColumn("file_id", F.col("vec_id") % 2)
+    e = table(spark, sf_dir, "embeddings").withColumn("file_id", F.col("vec_id") % 2)
     return linkage.cluster_groups(e, "file_id", ["vec_id"], "embedding", threshold=1.0, num=4)
 
 
-@query()
+@query(f"""WITH {CENTRE}, s AS (SELECT vec_id // 3 AS chunk_idx, vec_id % 3 AS spk, cluster, 2 - list_cosine_distance(CAST(embedding AS DOUBLE[]), centroid) AS s FROM embeddings, ce WHERE cluster < 4),
+best AS (SELECT a.chunk_idx, a.cluster AS k0, b.cluster AS k1, c.cluster AS k2 FROM s a
+LEFT JOIN s b ON b.chunk_idx = a.chunk_idx AND b.spk = 1 AND b.cluster <> a.cluster
+LEFT JOIN s c ON c.chunk_idx = a.chunk_idx AND c.spk = 2 AND c.cluster <> a.cluster AND c.cluster <> b.cluster
+WHERE a.spk = 0 QUALIFY row_number() OVER (PARTITION BY a.chunk_idx ORDER BY a.s + coalesce(b.s, 0) + coalesce(c.s, 0) DESC) = 1)
+SELECT CAST(chunk_idx AS BIGINT) AS chunk_idx, CAST(spk AS BIGINT) AS spk, CAST(cluster AS INTEGER) AS cluster FROM (SELECT chunk_idx, 0 AS spk, k0 AS cluster FROM best
+UNION ALL SELECT chunk_idx, 1, k1 FROM best WHERE k1 IS NOT NULL UNION ALL SELECT chunk_idx, 2, k2 FROM best WHERE k2 IS NOT NULL)""")
 def constrained_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     means = vectors.centroids(e, ["label"], "embedding").where("label < 4").withColumnRenamed("label", "cluster")
@@ -587,11 +592,16 @@ def stub_diarize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has given once its source is used up."""
-    name = f"stream_{uuid.uuid4().hex}"
-    running = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return stream.sparkSession.table(name)
+    """What a stream has given once its source is used up, as Parquet in the shared folder."""
+    spark = stream.sparkSession
+    path = cluster.new_path(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -616,7 +626,12 @@ def stream_close_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"))
 
 
-@query()
+@query("""WITH p AS (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 AS passed FROM events),
+e AS (SELECT user_id, epoch_us(ts) AS t, value, CASE WHEN value > 50 THEN 1 WHEN value < 20 THEN 0 END AS mark FROM events, p WHERE epoch_us(ts) <= passed),
+h AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, value ROWS UNBOUNDED PRECEDING), 0) AS active FROM e),
+c AS (SELECT *, coalesce(lag(active) OVER (PARTITION BY user_id ORDER BY t, value), 0) AS before FROM h),
+n AS (SELECT user_id, t AS start, active, lead(t) OVER (PARTITION BY user_id ORDER BY t, value) AS e FROM c WHERE active <> before)
+SELECT user_id, start, e AS "end" FROM n WHERE active = 1 AND e IS NOT NULL""")
 def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _drained(online.active_runs(_event_stream(spark, sf_dir), "user_id", "ts", "value", 50, 20, "1 hour"), "append")
     return got.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"))

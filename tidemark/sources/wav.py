@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.spectral import resample
 
-BLOCK = 8_000
+BLOCK, HEAD = 8_000, 1 << 16
 _TYPES = {8: np.int8, 16: np.int16, 32: np.int32}
 BLOCK_SCHEMA = "file_id string, blk int, samples array<float>"
 HEADER_SCHEMA = "file_id string, sample_rate int, channels int, bits int, num_samples bigint, seconds double"
@@ -47,6 +47,20 @@ def parse(content: bytes) -> tuple[dict, np.ndarray]:
     raise ValueError("no data in the file")
 
 
+def probe(head: bytes, length: int) -> dict:
+    """Header fields from the first bytes of a file of so many."""
+    at = 12
+    while at + 8 <= len(head):
+        name, size = struct.unpack_from("<4sI", head, at)
+        if name == b"data":
+            # the format and an empty data chunk make a file of their own
+            h, _ = parse(head[:at] + struct.pack("<4sI", b"data", 0))
+            width = h["bits"] // 8 * h["channels"]
+            return h | {"num_samples": min(size, length - at - 8) // width}
+        at += 8 + size + size % 2
+    return parse(head)[0]
+
+
 def encode(samples: np.ndarray, rate: int = 16_000, channels: int = 1, bits: int = 16) -> bytes:
     """A WAV file of samples that are in the range of the depth."""
     data = np.asarray(samples).astype(np.dtype(_TYPES[bits]).newbyteorder("<")).tobytes()
@@ -70,15 +84,16 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headers(found: DataFrame) -> DataFrame:
-    """A row of header fields for each file."""
+    """A row of header fields for each file; only its first ``HEAD`` bytes go to Python,
+    and the data chunk must begin within them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                h, _ = parse(content.as_py())
+            for path, head, length in zip(batch.column("path"), batch.column("head"), batch.column("length")):
+                h = probe(head.as_py(), length.as_py())
                 yield pa.RecordBatch.from_pylist([{"file_id": path.as_py(), **h, "seconds": h["num_samples"] / h["sample_rate"]}], schema=pa.schema([("file_id", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("num_samples", pa.int64()), ("seconds", pa.float64())]))
 
-    return found.select("path", "content").mapInArrow(run, HEADER_SCHEMA)
+    return found.select("path", F.substring("content", 1, HEAD).alias("head"), F.length("content").cast("bigint").alias("length")).mapInArrow(run, HEADER_SCHEMA)
 
 
 def read_wav(found: DataFrame, rate: int | None = 16_000, block: int = BLOCK) -> DataFrame:
@@ -102,8 +117,13 @@ def write_wav(blocks: DataFrame, folder: str, rate: int = 16_000, bits: int = 16
     ``file_id, path, num_samples``.
 
     A file is written under another name first and then moved, so a task that runs
-    again replaces it whole.  ``folder`` must be one that all executors share.
+    again replaces it whole.  ``folder`` must be one that all executors share.  Two
+    file_ids that would share a file are an error, and nothing is written.
     """
+    stem = F.regexp_replace(F.regexp_extract("file_id", r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+    shared = blocks.select("file_id", stem.alias("stem")).distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("a"), F.max("file_id").alias("b")).where("n > 1").take(1)
+    if shared:
+        raise ValueError(f"{shared[0].a} and {shared[0].b} would both be written to {shared[0].stem}.wav")
     top = float((1 << (bits - 1)) - 1)
 
     def run(table: pa.Table) -> pa.Table:

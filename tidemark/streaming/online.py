@@ -38,36 +38,38 @@ def close_gaps(intervals: DataFrame, keys: list[str], collar_micros: int, late:
 def active_runs(events: DataFrame, key: str, ts: str, score: str, onset: float, offset: float, late: str = "5 seconds") -> DataFrame:
     """``key, start, end`` of the runs of a hysteresis over each key's scores.
 
-    The state of a key is whether it is on, since when, and its last time.  A run is
-    emitted when it ends, or when its key has been quiet until the watermark passes.
-    Rows of a micro-batch are taken in the order of time; rows older than the state,
-    late beyond repair, are left out.
+    Rows wait in the state of their key until the watermark has passed them and are
+    then taken in the order of time, so that the result depends neither on the borders
+    of micro-batches nor on the order of rows within the watermark.  A run is emitted
+    once its end has been passed; one that is still open is not.  Rows behind the
+    watermark, and those without a time, are left out.
     """
     kinds = dict(events.dtypes)
 
     def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on, since, last = state.get if state.exists else (False, -1, -1)
-        out = []
-        if state.hasTimedOut:
-            if on:
-                out.append((since, last))
+        on, since, times, scores = state.get if state.exists else (False, -1, [], [])
+        rows = list(zip(times, scores))
+        if not state.hasTimedOut:
+            for part in parts:
+                rows += zip(part["__ts"].to_numpy("datetime64[us]").astype("int64").tolist(), part["__s"].tolist())
+        rows.sort()
+        passed, out, waiting = state.getCurrentWatermarkMs() * 1000, [], []
+        for t, x in rows:
+            if t > passed:
+                waiting.append((t, x))
+            elif on and x < offset:
+                out.append((since, t))
+                on = False
+            elif not on and x > onset:
+                on, since = True, t
+        if on or waiting:
+            state.update((on, since, [t for t, _ in waiting], [x for _, x in waiting]))
+            if waiting:
+                state.setTimeoutTimestamp(waiting[0][0] // 1000 + 1)
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(parts))
-            micros = rows["__ts"].to_numpy("datetime64[us]").astype("int64")
-            for t, x in sorted(zip(micros.tolist(), rows["__s"].tolist())):
-                if t < last:
-                    continue
-                if on and x < offset:
-                    out.append((since, t))
-                    on = False
-                elif not on and x > onset:
-                    on, since = True, t
-                last = t
-            state.update((on, since, last))
-            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 1)
         if out:
             yield pd.DataFrame({key: [name[0]] * len(out), "start": pd.to_datetime([a for a, _ in out], unit="us"), "end": pd.to_datetime([b for _, b in out], unit="us")})
 
-    timed = events.withWatermark(ts, late).select(key, F.col(ts).alias("__ts"), F.col(score).cast("double").alias("__s"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, start timestamp, end timestamp", "on boolean, since bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = events.where(F.col(ts).isNotNull()).withWatermark(ts, late).select(key, F.col(ts).alias("__ts"), F.col(score).cast("double").alias("__s"))
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, start timestamp, end timestamp", "on boolean, since bigint, times array<bigint>, scores array<double>", "append", GroupStateTimeout.EventTimeTimeout)
