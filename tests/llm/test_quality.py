@@ -1,7 +1,10 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tidemark.llm import quality_knn as Q
 from tidemark.llm import quality_rules as R
@@ -54,7 +57,7 @@ def test_odd_rows_and_labels(spark, docs_of, odd_rows):
     assert Q.quality_votes(docs_of([]), labels).count() == 0
 
 
-def slow_histograms(text, lang):
+def slow_histograms(text, lang, common):
     classes = [0] * 8
     for ch in text:
         k = 7 if ord(ch) > 127 else 6
@@ -65,8 +68,8 @@ def slow_histograms(text, lang):
     import re
 
     words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7F])+", text.lower())
-    listed = R.COMMON.get(lang, [])
-    wide = max(map(len, R.COMMON.values()))
+    listed = common.get(lang, [])
+    wide = max(map(len, common.values()))
     counts = [sum(w == c for w in words) for c in listed] + [0] * (wide - len(listed))
     return classes, counts + [len(words) - sum(counts)]
 
@@ -78,23 +81,32 @@ def slow_distance(p, q):
     return np.sqrt(max(0, sum((x * np.log2(x / y) if x else 0) for a in (p, q) for x, y in zip(a, m)) / 2))
 
 
-def test_rules_against_a_loop(docs_of, text_of):
+@pytest.mark.parametrize("given", [True, False])
+def test_rules_against_a_loop(docs_of, text_of, given):
     rng = random.Random(3)
     rows = [(i, text_of(rng, rng.randint(5, 120)) + (" ÉÈ!" if i % 3 else ""), "en" if i % 2 else "fr") for i in range(30)]
     rows += [(90, "#### " * 80, "en"), (91, "WHOLE TEXT IN CAPITALS " * 20, "en"), (92, "kein " * 80, "xx")]
+    if given:
+        common = {"en": ["the", "of", "and"], "fr": ["à", "in"]}
+    else:
+        # the most frequent words of each language, ties to the lesser hash
+        counts = {}
+        for _, text, lang in rows:
+            counts.setdefault(lang, Counter()).update(re.findall(r"(?:[a-z0-9]|[^\x00-\x7F])+", text.lower()))
+        common = {lang: sorted(c, key=lambda w: (-c[w], int(R.word_hashes([w])[0])))[:5] for lang, c in counts.items()}
     total = {}
     for _, text, lang in rows:
-        c, w = slow_histograms(text, lang)
+        c, w = slow_histograms(text, lang, common)
         a, b = total.setdefault(lang, ([0] * 8, [0] * len(w)))
         total[lang] = ([x + y for x, y in zip(a, c)], [x + y for x, y in zip(b, w)])
-    found = {r.doc_id: r for r in R.quality_divergence(docs_of(rows)).collect()}
+    found = {r.doc_id: r for r in R.quality_divergence(docs_of(rows), common if given else None, top=5).collect()}
     for i, text, lang in rows:
-        c, w = slow_histograms(text, lang)
-        if len(text.encode()) >= 200:
+        c, w = slow_histograms(text, lang, common)
+        if len(text) >= 200:
             assert abs(found[i].char_distance - slow_distance(c, total[lang][0])) < 1e-9
         else:
             assert found[i].char_distance is None
-        if sum(w) >= 40 and lang in R.COMMON:
+        if sum(w) >= 40 and lang in common:
             assert abs(found[i].word_distance - slow_distance(w, total[lang][1])) < 1e-9
         else:
             assert found[i].word_distance is None
@@ -108,3 +120,5 @@ def test_rules_odd_rows(docs_of, odd_rows):
     by = {r.doc_id: r for r in rows}
     assert by[3].rules_keep and by[4].rules_keep and by[3].char_distance is None
     assert R.quality_divergence(docs_of([])).count() == 0
+    nameless = R.quality_divergence(docs_of(odd_rows).drop("lang")).collect()
+    assert len(nameless) == len(odd_rows) and all(r.rules_keep for r in nameless if r.text is None)
