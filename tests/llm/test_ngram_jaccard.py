@@ -28,6 +28,61 @@ def brute(rows, n, num, den):
     return out
 
 
+def plain(rows, n, num, den):
+    """All pairs of documents, a document's n-grams being those of all its texts."""
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").lower())
+        if i is not None and w:
+            sets.setdefault(i, set()).update(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))
+    ids, out = sorted(sets), set()
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both * den >= (len(sets[a]) + len(sets[b]) - both) * num:
+                out.add((a, b, both / (len(sets[a]) + len(sets[b]) - both)))
+    return out
+
+
+def expanded(pairs):
+    """All pairs from the rows of the join: (smallest, other, 1.0) of each class, and one row for two near classes."""
+    members = {}
+    for a, b, j in pairs:
+        if j == 1.0:
+            members.setdefault(a, {a}).add(b)
+    out = set()
+    for own in members.values():
+        out |= {(a, b, 1.0) for a in own for b in own if a < b}
+    for a, b, j in pairs:
+        if j < 1.0:
+            out |= {(min(x, y), max(x, y), j) for x in members.get(a, {a}) for y in members.get(b, {b})}
+    return out
+
+
+def test_all_pairs_follow(docs_of, text_of):
+    rng = random.Random(8)
+    rows = []
+    for base in range(6):
+        words = text_of(rng, 40).split()
+        for _ in range(12):
+            near = list(words)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                near[rng.randrange(3) * 10] = f"e{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(near)))
+    rng.shuffle(rows)
+    found = got(ngram_jaccard_join(docs_of(rows)))
+    want = plain(rows, 5, 2, 5)
+    assert expanded(found) == want and len(found) < len(want)
+
+
+def test_rows_that_share_a_doc_id(docs_of):
+    """They are one document: its n-grams are those of all its texts together."""
+    one, other = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, one), (2, one), (3, other), (1, other), (4, "x y"), (4, one), (5, "x y"), (4, one)]
+    found = got(ngram_jaccard_join(docs_of(rows).repartition(3)))
+    assert expanded(found) == plain(rows, 5, 2, 5) and (1, 2, 0.5) in found and (1, 3, 0.5) in found
+
+
 def got(df):
     return sorted((r.doc_a, r.doc_b, r.jaccard) for r in df.collect())
 
