@@ -588,6 +588,65 @@ def stub_diarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diarize.Diarizer(options).run(blocks)
 
 
+# times, indices and texts of rows
+
+
+@query(f"""WITH {SEQ} SELECT user_id, frame, round((frame * 1.37e0 + (frame * 1.37e0 + 1.37e0)) / 2, 6) AS middle, round(frame * 0.016875e0, 6) AS duration,
+CAST(floor(greatest(value, 0) / 0.016875e0) + 1 AS BIGINT) AS cover, CAST(floor((value - 0.016875e0) / 0.016875e0) + 1 AS BIGINT) AS strict,
+CAST(floor((value + 0.016875e0) / 0.016875e0) AS BIGINT) AS loose, CAST(round_even(value / 0.016875e0, 0) AS BIGINT) AS center FROM seq""")
+def grid_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [G.samples("value", FINE, mode).cast("bigint").alias(mode) for mode in ("strict", "loose", "center")]
+    lengths = [F.round(G.frame_middle("frame", FRAME), 6).alias("middle"), F.round(G.samples_to_duration("frame", FINE), 6).alias("duration"), G.duration_to_samples("value", FINE).cast("bigint").alias("cover")]
+    return sequence(spark, sf_dir).select("user_id", "frame", *lengths, *counts)
+
+
+@query("""SELECT DISTINCT user_id, CAST(ceil((300e0 - 1e0) / 0.25e0) AS BIGINT) AS n FROM events""")
+def grid_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", G.grid_length(Grid(step=0.25, duration=1.0, start=1.0, end=300.0)).alias("n"))
+
+
+@query(f"""WITH {SEQ} SELECT user_id, frame, CAST(frame AS DOUBLE) AS start, CAST(frame + 2 AS DOUBLE) AS "end", round(frame * 0.5e0 + 0.01e0, 1) AS near,
+abs(frame * 0.1e0 - frame / 10e0) < 2.220446049250313e-16 AS same, printf('[%.2f -- %.2f] --> Speaker_%s', frame * 0.5e0, frame * 0.5e0 + 1.25e0, CAST(user_id AS VARCHAR)) AS line FROM seq""")
+def segment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments through JSON and back, rounded, and as lines of the console."""
+    at = F.col("frame") * 0.5
+    back = S.from_json(S.to_json(S.segment(F.col("frame").cast("double"), (F.col("frame") + 2).cast("double"))))
+    near = S.rounded(S.segment(at + 0.01, at + 1.0), 1)["start"].alias("near")
+    return sequence(spark, sf_dir).select("user_id", "frame", back["start"].alias("start"), back["end"].alias("end"), near, A.same(F.col("frame") * 0.1, F.col("frame") / 10).alias("same"), S.result_line(at, at + 1.25, "user_id").alias("line"))
+
+
+@query(f"""WITH {SEQ} SELECT user_id, frame, value FROM seq""")
+def fold_unfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sequence(spark, sf_dir).select("user_id", "frame", "value")
+    return windowing.unfold(windowing.fold(rows, "frame", 7, "row", "place"), "row", "place", 7, "frame")
+
+
+@query("""WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
+SELECT vec_id, count(*) FILTER (v > 0) AS n, coalesce(CAST(sum(d) FILTER (v > 0) AS BIGINT), 0) AS places, round(sum(round(CAST(v AS DOUBLE) * 1000) / 32768e0), 6) AS scaled,
+coalesce(CAST(nullif(any_value(label), 3) AS DOUBLE), 0e0) AS filled FROM x GROUP BY vec_id""")
+def element_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices of positive elements, elements as PCM samples, and missing labels as 0."""
+    places = A.nonzero(F.transform("embedding", lambda x: x > 0))
+    scaled = A.scale_pcm(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.size(places).cast("bigint").alias("n"),
+        F.aggregate(places, F.lit(0).cast("bigint"), lambda a, i: a + i).alias("places"),
+        F.round(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x), 6).alias("scaled"),
+        A.nan_to(F.when(F.col("label") != 3, F.col("label"))).alias("filled"),
+    )
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, CAST(n * a.vec_id - a.vec_id * (a.vec_id + 1) // 2 + b.vec_id - a.vec_id - 1 AS BIGINT) AS place
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id CROSS JOIN n""")
+def condensed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the pairs of a label in the condensed distances of all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    pairs = vectors.pairwise(e, ["label"], "vec_id", "embedding").select("i", "j")
+    return pairs.crossJoin(e.agg(F.count(F.lit(1)).alias("n"))).select("i", "j", A.condensed_index("n", "i", "j").cast("bigint").alias("place"))
+
+
 # streams
 
 
@@ -617,6 +676,12 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_type", F.unix_seconds("start").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
+@query("""SELECT event_type, epoch_us(ts) // 21600000000 * 21600 AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _drained(online.tumbling(_event_stream(spark, sf_dir), ["event_type"], "ts", "value", "6 hours", "1 hour"), "complete")
+    return got.select("event_type", F.unix_seconds("start").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
 @query("""WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 43200000000 THEN 0 ELSE 1 END AS new FROM e),
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM g)
 SELECT user_id, min(t) AS start, max(t) AS "end" FROM i GROUP BY user_id, g""")
