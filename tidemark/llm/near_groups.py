@@ -31,19 +31,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return made.where("node > other").distinct()
 
 
-def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """``doc_id, root`` of every node that isn't its component's smallest, from pairs ``doc_a, doc_b``."""
     spark = pairs.sparkSession
     edges = pairs.select(F.greatest("doc_a", "doc_b").alias("node"), F.least("doc_a", "doc_b").alias("other")).where("node > other").distinct()
     edges = cluster.written(spark, edges, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         edges = cluster.written(spark, _star(_star(edges, True), False), "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("node").alias("doc_id"), F.col("other").alias("root"))
         before = state
-    raise RuntimeError("components did not settle")
 
 
 def keep_one_of_each_group(docs: DataFrame, n: int = 5, threshold: float = 0.4) -> DataFrame:
