@@ -1,11 +1,16 @@
 import random
 import re
 
+from fractions import Fraction
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidemark.llm import ngram_jaccard as J
+from tidemark.llm import textops as T
 from tidemark.llm.near_groups import components, keep_one_of_each_group
-from tidemark.llm.ngram_jaccard import ngram_jaccard_join, order
+from tidemark.llm.ngram_jaccard import ngram_jaccard_edges, ngram_jaccard_join, ngram_jaccard_links, order
 
 WORD = re.compile(r"(?:[a-z0-9]|[^\x00-\x7F])+")
 
@@ -157,3 +162,72 @@ def test_one_of_each_group_stays(docs_of, odd_rows):
     assert ids == [1, 1, 3, 4, 5, 6, 7, 9, 11, 13]
     assert sum(r.doc_id is None for r in kept) == 2
     assert keep_one_of_each_group(docs_of([])).count() == 0
+
+
+def linked(rows, n, num, den):
+    """doc_id, class_id and links from all pairs of documents."""
+    ids = {i for i, *_ in rows if i is not None}
+    class_of, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+    for a, b, j in plain(rows, n, num, den):
+        links[a], links[b] = links[a] + 1, links[b] + 1
+        if j == 1.0:
+            class_of[b] = min(class_of[b], a)
+    return sorted((i, class_of[i], links[i]) for i in ids)
+
+
+def near_copies(rng, text_of, bases, each, words, edits):
+    rows = []
+    for _ in range(bases):
+        base = text_of(rng, words).split()
+        for _ in range(each):
+            near = list(base)
+            for _ in range(rng.choice(edits)):
+                near[rng.randrange(words)] = f"e{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(near)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_links_count_all_pairs(docs_of, text_of, odd_rows):
+    """Three texts of one n-gram set have two links each, and near classes link all their documents."""
+    rows = near_copies(random.Random(12), text_of, 5, 14, 40, [0, 0, 1, 2, 3]) + [(500, "p q r s t u"), (501, "P q, r s t u"), (502, "p Q r s t u!")]
+    for case in (rows, odd_rows, []):
+        found = sorted((r.doc_id, r.class_id, r.links) for r in ngram_jaccard_links(docs_of(case)).collect())
+        assert found == linked(case, 5, 2, 5)
+    assert {(500, 500, 2), (501, 500, 2), (502, 500, 2)} <= set(linked(rows, 5, 2, 5))
+
+
+def test_a_large_group_of_near_copies(docs_of, text_of):
+    """The rows follow the documents, not their pairs, and blocks lose no link."""
+    rows = near_copies(random.Random(13), text_of, 2, 300, 50, [1, 2])
+    docs = docs_of(rows)
+    assert sorted((r.doc_id, r.class_id, r.links) for r in ngram_jaccard_links(docs).collect()) == linked(rows, 5, 2, 5)
+    edges, pairs = ngram_jaccard_edges(docs), plain(rows, 5, 2, 5)
+    assert edges.count() < 4 * len(rows) < len(pairs) // 20
+    assert components(edges).collect() and sorted(components(edges).collect()) == sorted(components(ngram_jaccard_join(docs)).collect())
+
+
+def test_candidates_are_pairs_of_blocks():
+    """Of k near copies that share an n-gram, (k / SIDE)**2 candidates are made and not k**2."""
+    k, side = 2048, J.SIDE
+    g = np.full(k, 7, np.uint64)
+    payload = T.pack(g, np.arange(k, dtype=np.uint32), np.ones(k, np.int32), np.arange(k, dtype=np.int64) // side, np.full(k, 50, np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([payload], pa.binary())], names=["part", "kind", "payload"])
+    made = [(a, b) for x in J._candidates(Fraction(2, 5))(iter([batch])) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+    assert sorted(made) == [(a, b) for a in range(k // side) for b in range(a, k // side)]
+
+
+def test_dense_and_single_blocks_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 400, dtype=np.int64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 60, replace=False), rng.integers(0, 2**63, rng.integers(0, 9))])) for _ in range(90)]
+    records = pa.table({"block": pa.array([i // 30 for i in range(90)], pa.int64()), "doc_id": list(range(90)), "many": [1] * 90, "size": [len(x) for x in sets], "grams": [x.tolist() for x in sets]})
+    pairs = pa.table({"a": [0, 0, 1, 2], "b": [0, 1, 2, 2]})
+    inside = {(x, y) for x in range(90) for y in range(x + 1, 90) if (x // 30, y // 30) in {(0, 0), (0, 1), (1, 2), (2, 2)}}
+    t = Fraction(1, 10)
+    want = {(x, y, k) for x, y in inside if 10 * (k := len(np.intersect1d(sets[x], sets[y]))) >= len(sets[x]) + len(sets[y]) - k}
+    for least in (1, 10**9):
+        monkeypatch.setattr(J, "DENSE", least)
+        monkeypatch.setattr(J, "COLUMNS", 64)
+        found = [(int(x), int(y), int(k)) for a, b, o in J._Place(t, records).near(pairs) for x, y, k in zip(a, b, o)]
+        assert set(found) == want and len(found) == len(want) > 50

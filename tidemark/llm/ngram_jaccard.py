@@ -10,38 +10,45 @@ form a *class*; every class is joined once, under its signature.
 2. *Records.*  What is left goes back to the class.  Rare-first order puts the
    single n-grams first, so a class whose shared n-grams are fewer than the
    overlap that the threshold demands has its whole prefix single, and goes.
-3. *Candidates.*  Prefix n-grams are joined; length and positional filters act on
-   every meeting and a pair leaves a partition once, then ``distinct`` once.
-4. *Verification.*  Candidates are blocked by their smallest neighbour, so records
-   travel to few places; a suffix filter on hash ranges and then the exact
-   overlap decide, once per pair.
+3. *Blocks.*  Classes whose n-grams have the same least hash, as near copies mostly
+   do, form blocks of at most ``SIDE``.  A group of k near copies then has some
+   (k / SIDE)**2 candidates in place of k**2.
+4. *Candidates.*  Prefix n-grams are joined; length and positional filters act on
+   every meeting of two blocks, and a pair of blocks leaves a partition once, then
+   ``distinct`` once.
+5. *Verification.*  Pairs of blocks are placed by their smallest neighbour, so records
+   travel to few places; a suffix filter on hash ranges and then the exact overlap
+   decide, once per pair of classes.  A place returns the pairs, each class's number
+   of links, or as few edges as connect what the pairs connect.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import cluster
 from tidemark.llm import textops as T
-from tidemark.llm.arrow import lean, lean_group, lean_pair, small_batches
+from tidemark.llm.arrow import lean, lean_batches, lean_group, lean_pair, small_batches
 
 U64 = np.uint64
 FLUSH = 1 << 20
-BLOCK = 1024
+BLOCK = 4096
+SIDE, SIDE_GRAMS, DENSE, COLUMNS = 256, 1 << 20, 4096, 8192
 RANGES = 16
 
 _PACKED = "part int, kind int, payload binary"
 _PACKED_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-_RECORD = "sig bigint, doc_id bigint, docs array<bigint>, size int, singles int, grams array<bigint>"
-_RECORD_ARROW = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("docs", pa.list_(pa.int64())), ("size", pa.int32()), ("singles", pa.int32()), ("grams", pa.list_(pa.int64()))])
+_RECORD = "sig bigint, doc_id bigint, docs array<bigint>, size int, singles int, key bigint, grams array<bigint>"
+_RECORD_ARROW = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("docs", pa.list_(pa.int64())), ("size", pa.int32()), ("singles", pa.int32()), ("key", pa.int64()), ("grams", pa.list_(pa.int64()))])
 _PAIR_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _OUT_ARROW = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+_LINKS_ARROW = pa.schema([("class_id", pa.int64()), ("links", pa.int64())])
 
 
 def order(values: np.ndarray) -> np.ndarray:
@@ -220,6 +227,10 @@ def _records(t: Fraction):
         where, grams = where[at], grams[at]
         out = np.flatnonzero(near | (many > 1))
         lists = np.concatenate([[0], np.cumsum(np.where(near, shared, 0)[out])])
+        # the least hash of a class's shared n-grams, which near copies have in common more often than not
+        key, full = known[out].copy(), np.diff(lists) > 0
+        if full.any():
+            key[full] = np.minimum.reduceat(T.mix(grams), lists[:-1][full])
         return pa.Table.from_arrays(
             [
                 pa.array(known[out].view(np.int64)),
@@ -227,6 +238,7 @@ def _records(t: Fraction):
                 T.list_array(ids[T.ragged(first[out], many[out])], np.concatenate([[0], np.cumsum(many[out])])),
                 pa.array(size[out], pa.int32()),
                 pa.array((size - shared)[out], pa.int32()),
+                pa.array(key.view(np.int64)),
                 T.list_array(grams.view(np.int64), lists),
             ],
             schema=_RECORD_ARROW,
@@ -236,11 +248,11 @@ def _records(t: Fraction):
 
 
 def _prefixes(t: Fraction, parts: int):
-    """Records to packed prefix postings: n-gram, class, size and position."""
+    """Records to packed prefix postings: n-gram, block, size and position."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, size, singles = (batch.column(c).to_numpy().astype(k) for c, k in (("sig", np.int64), ("size", np.int64), ("singles", np.int64)))
+            block, size, singles = (batch.column(c).to_numpy().astype(np.int64) for c in ("block", "size", "singles"))
             lists = batch.column("grams")
             offsets, grams = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(U64)
             take = np.minimum(size - _needed(size, t) + 1 - singles, np.diff(offsets))
@@ -255,93 +267,211 @@ def _prefixes(t: Fraction, parts: int):
             payloads = []
             for s, e in zip(cuts[:-1], cuts[1:]):
                 here, index = np.unique(row[s:e], return_inverse=True)
-                payloads.append(T.pack(g[s:e], index.astype(np.uint32), position[s:e], sig.view(U64)[here], size[here].astype(np.int32)))
+                payloads.append(T.pack(g[s:e], index.astype(np.uint32), position[s:e], block[here], size[here].astype(np.int32)))
             yield _rows(p[cuts[:-1]], 0, payloads)
 
     return prefixes
 
 
 def _candidates(t: Fraction, limit: int = 1 << 20):
-    """Prefix postings of a partition of n-grams to pairs of classes, each once."""
+    """Prefix postings of a partition of n-grams to pairs of blocks that may hold a
+    pair of near classes; a block is paired with itself where two of its classes meet."""
 
-    def candidates(table: pa.Table) -> pa.Table:
-        got = [T.unpack(x.as_py()) for x in table.column("payload")]
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [T.unpack(x.as_py()) for batch in batches for x in batch.column("payload")]
         g = np.concatenate([x[0] for x in got])
         s, z = (np.concatenate([x[k][x[1]] for x in got]) for k in (3, 4))
         j = np.concatenate([x[2] for x in got]).astype(np.int64)
+        del got
         known, c = np.unique(s, return_inverse=True)
         z = z.astype(np.int64)
-        at = np.lexsort((z, g))
+        at = np.lexsort((z, c, g))
         g, c, z, j = g[at], c[at], z[at], j[at]
+        # what a block has at an n-gram: its least and greatest size, and the most that any of its classes has from here on
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(g))
+        rest = np.maximum.reduceat(z - j, first)
+        own = np.unique(c[first][last - first > 1])
+        g, c, low, high = g[first], c[first], z[first], z[last - 1]
+        at = np.lexsort((low, g))
+        g, c, low, high, rest = g[at], c[at], low[at], high[at], rest[at]
+
+        def made(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(known[pairs >> 32]), pa.array(known[pairs & 0xFFFFFFFF])], schema=_PAIR_ARROW)
+
+        if len(own):
+            yield made(own << 32 | own)
         cuts = _borders(g)
         end = np.repeat(cuts[1:], np.diff(cuts))
-        active, found, held, most = np.arange(len(g)), [], 0, limit
+        active, found, held = np.arange(len(g)), [], 0
         for k in range(1, int(np.diff(cuts).max(initial=0))):
-            # of the k-th next of each, which has no smaller set; beyond the length filter all later ones are too long
+            # of the k-th next of each, whose least set is no smaller; beyond the length filter all later ones are too long
             active = active[active + k < end[active]]
             other = active + k
-            fits = z[active] >= _needed(z[other], t)
+            fits = high[active] >= _needed(low[other], t)
             active, other = active[fits], other[fits]
             if not len(active):
                 break
-            enough = 1 + np.minimum(z[active] - j[active], z[other] - j[other]) >= _overlap(z[active] + z[other], t)
+            enough = 1 + np.minimum(rest[active], rest[other]) >= _overlap(low[active] + low[other], t)
             a, b = c[active[enough]], c[other[enough]]
             found.append(np.minimum(a, b) << 32 | np.maximum(a, b))
             held += len(a)
-            if held > most:
+            if held > limit:
                 found = [np.unique(np.concatenate(found))]
                 held = len(found[0])
-                most = max(limit, 2 * held)
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        a, b = known[pairs >> 32], known[pairs & 0xFFFFFFFF]
-        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-        return pa.Table.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=_PAIR_ARROW)
+                # what is still many goes out; should such a pair be found again, distinct drops it
+                if held > limit // 2:
+                    yield made(found[0])
+                    found, held = [], 0
+        if held:
+            yield made(np.unique(np.concatenate(found)))
 
     return candidates
 
 
-def _verify(t: Fraction):
-    """Records and pairs of a block pair to the pairs that reach the threshold."""
+class _Place:
+    """The records of some blocks, and the pairs of classes in pairs of blocks that reach the threshold."""
 
-    def verify(records: pa.Table, pairs: pa.Table) -> pa.Table:
-        if not records.num_rows or not pairs.num_rows:
-            return _OUT_ARROW.empty_table()
-        sig = records.column("sig").to_numpy()
-        by = np.argsort(sig)
-        sig = sig[by]
+    def __init__(self, t: Fraction, records: pa.Table) -> None:
+        self.t = t
+        block = records.column("block").to_numpy()
+        by = np.argsort(block, kind="stable")
+        self.known, first = np.unique(block[by], return_index=True)
+        self.first, self.last = first, np.append(first[1:], len(by))
         records = records.take(pa.array(by))
-        size, rep = records.column("size").to_numpy().astype(np.int64), records.column("doc_id").to_numpy()
+        self.size, self.rep, self.many = (records.column(c).to_numpy().astype(np.int64) for c in ("size", "doc_id", "many"))
         lists = records.column("grams").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        offsets, grams = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(U64)
-        owner = np.repeat(np.arange(len(sig)), np.diff(offsets))
-        # suffix filter: in no range of hashes can two sets share more than the smaller has
-        spread = np.bincount(owner * RANGES + (grams[offsets[0] : offsets[-1]] >> U64(60)).astype(np.int64), minlength=len(sig) * RANGES).reshape(-1, RANGES)
-        a, b = (np.searchsorted(sig, pairs.column(c).to_numpy()) for c in ("a", "b"))
+        self.offsets = lists.offsets.to_numpy().astype(np.int64)
+        grams = lists.values.to_numpy().view(U64)
+        n = len(by)
+        owner = np.repeat(np.arange(n), np.diff(self.offsets))
+        self.spread = np.bincount(owner * RANGES + (grams[self.offsets[0] : self.offsets[-1]] >> U64(60)).astype(np.int64), minlength=n * RANGES).reshape(-1, RANGES).astype(np.int32)
+        del owner
+        self.dense = np.unique(grams, return_inverse=True)[1].astype(np.int32)
+        self.mark = np.zeros(int(self.dense.max(initial=0)) + 1, np.int32)
+
+    def near(self, pairs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Both classes and the overlap of each pair, some pairs of blocks at a time."""
+        a, b = (np.searchsorted(self.known, pairs.column(c).to_numpy()) for c in ("a", "b"))
         at = np.lexsort((b, a))
         a, b = a[at], b[at]
-        need = _overlap(size[a] + size[b], t)
+        many = (self.last - self.first)[a] * (self.last - self.first)[b]
+        for x, y in zip(a[many >= DENSE], b[many >= DENSE]):
+            yield from self._kept(*self._dense(int(x), int(y)))
+        a, b, many = a[many < DENSE], b[many < DENSE], many[many < DENSE]
+        part = (np.cumsum(many) - many) >> 18
+        cuts = _borders(part)
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            yield from self._kept(*self._single(a[s:e], b[s:e], many[s:e]))
+
+    def _kept(self, a: np.ndarray, b: np.ndarray, overlap: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ok = (overlap >= _overlap(self.size[a] + self.size[b], self.t)) & (self.rep[a] != self.rep[b])
+        if ok.any():
+            yield a[ok], b[ok], overlap[ok]
+
+    def _dense(self, x: int, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Overlaps of all pairs of two blocks, as products of their matrices of shared n-grams."""
+        rows, grams = [], []
+        for k in (x, y):
+            s, e = self.first[k], self.last[k]
+            rows.append(np.repeat(np.arange(e - s), np.diff(self.offsets[s : e + 1])))
+            grams.append(self.dense[self.offsets[s] : self.offsets[e]])
+        self.mark[grams[0]] = 1
+        common = np.unique(grams[1][self.mark[grams[1]] > 0])
+        self.mark[grams[0]] = 0
+        self.mark[common] = np.arange(1, len(common) + 1)
+        overlap = np.zeros((self.last[x] - self.first[x], self.last[y] - self.first[y]), np.float64)
+        columns = [self.mark[g].astype(np.int64) - 1 for g in grams]
+        self.mark[common] = 0
+        for at in range(0, len(common), COLUMNS):
+            sides = []
+            for r, c, n in zip(rows, columns, overlap.shape):
+                inside = (c >= at) & (c < at + COLUMNS)
+                side = np.zeros((n, min(COLUMNS, len(common) - at)), np.float32)
+                side[r[inside], c[inside] - at] = 1
+                sides.append(side)
+            overlap += sides[0] @ sides[1].T
+        a, b = np.nonzero(overlap)
+        if x == y:
+            a, b = a[a < b], b[a < b]
+        return a + self.first[x], b + self.first[y], overlap[a, b].astype(np.int64)
+
+    def _single(self, a: np.ndarray, b: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Overlaps of the pairs in small blocks that pass the suffix filter: in no range
+        of hashes can two sets share more than the smaller has."""
+        inner = T.ragged(np.zeros(len(many), np.int64), many)
+        width, same = np.repeat((self.last - self.first)[b], many), np.repeat(a == b, many)
+        a, b = np.repeat(self.first[a], many) + inner // width, np.repeat(self.first[b], many) + inner % width
+        need = _overlap(self.size[a] + self.size[b], self.t)
+        length = np.diff(self.offsets)
+        fits = (np.minimum(length[a], length[b]) >= need) & (~same | (a < b))
+        a, b, need = a[fits], b[fits], need[fits]
         fits = np.zeros(len(a), bool)
         for s in range(0, len(a), 1 << 16):
-            fits[s : s + (1 << 16)] = np.minimum(spread[a[s : s + (1 << 16)]], spread[b[s : s + (1 << 16)]]).sum(1) >= need[s : s + (1 << 16)]
-        a, b, need = a[fits], b[fits], need[fits]
-        _, dense = np.unique(grams, return_inverse=True)
-        mark = np.zeros(int(dense.max(initial=0)) + 1, np.int32)
+            u, v = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+            fits[s : s + (1 << 16)] = np.minimum(self.spread[u], self.spread[v]).sum(1) >= need[s : s + (1 << 16)]
+        a, b = a[fits], b[fits]
+        at = np.lexsort((b, a))
+        a, b = a[at], b[at]
         overlap, cuts = np.zeros(len(a), np.int64), _borders(a)
         for s, e in zip(cuts[:-1], cuts[1:]):
-            own = dense[offsets[a[s]] : offsets[a[s] + 1]]
-            mark[own] = 1
+            own = self.dense[self.offsets[a[s]] : self.offsets[a[s] + 1]]
+            self.mark[own] = 1
             for u in range(s, e, 256):
                 other = b[u : min(e, u + 256)]
-                lengths = offsets[other + 1] - offsets[other]
-                sums = np.concatenate([[0], np.cumsum(mark[dense[T.ragged(offsets[other], lengths)]])])
+                lengths = length[other]
+                sums = np.concatenate([[0], np.cumsum(self.mark[self.dense[T.ragged(self.offsets[other], lengths)]])])
                 ends = np.cumsum(lengths)
                 overlap[u : u + len(other)] = sums[ends] - sums[ends - lengths]
-            mark[own] = 0
-        ok = (overlap >= need) & (rep[a] != rep[b])
-        a, b, overlap = a[ok], b[ok], overlap[ok]
-        jaccard = overlap / (size[a] + size[b] - overlap)
-        return pa.Table.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b])), pa.array(jaccard)], schema=_OUT_ARROW)
+            self.mark[own] = 0
+        return a, b, overlap
+
+
+def _pairs(place: _Place, pairs: pa.Table) -> pa.Table:
+    """Each pair and its similarity."""
+    out = []
+    for a, b, overlap in place.near(pairs):
+        jaccard = overlap / (place.size[a] + place.size[b] - overlap)
+        a, b = place.rep[a], place.rep[b]
+        out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(jaccard)], schema=_OUT_ARROW))
+    return pa.Table.from_batches(out, _OUT_ARROW)
+
+
+def _links(place: _Place, pairs: pa.Table) -> pa.Table:
+    """For each class, the documents of the classes near it."""
+    links = np.zeros(len(place.rep), np.int64)
+    for a, b, _ in place.near(pairs):
+        np.add.at(links, a, place.many[b])
+        np.add.at(links, b, place.many[a])
+    some = np.flatnonzero(links)
+    return pa.Table.from_arrays([pa.array(place.rep[some]), pa.array(links[some])], schema=_LINKS_ARROW)
+
+
+def _edges(place: _Place, pairs: pa.Table) -> pa.Table:
+    """One edge at most for each class, from which the same classes are connected as by all pairs."""
+    root = np.arange(len(place.rep))
+    for a, b, _ in place.near(pairs):
+        while True:
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            apart = low < high
+            if not apart.any():
+                break
+            np.minimum.at(root, high[apart], low[apart])
+            while not np.array_equal(root, root[root]):
+                root = root[root]
+    some = np.flatnonzero(root != np.arange(len(root)))
+    a, b = place.rep[some], place.rep[root[some]]
+    return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR_ARROW)
+
+
+def _verify(t: Fraction, made: Callable[[_Place, pa.Table], pa.Table], schema: pa.Schema):
+    """Records and pairs of blocks of a place to what ``made`` makes of the near classes."""
+
+    def verify(records: pa.Table, pairs: pa.Table) -> pa.Table:
+        return made(_Place(t, records), pairs) if records.num_rows and pairs.num_rows else schema.empty_table()
 
     return verify
 
@@ -359,6 +489,42 @@ def _documents(docs: DataFrame) -> DataFrame:
     return source.join(repeated, "doc_id", "left_anti").union(together)
 
 
+def _joined(docs: DataFrame, n: int, threshold: float, parts: int | None, made: Callable, schema: pa.Schema, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """Records of the classes that have several documents or may be near another, and
+    what ``made`` makes of the near classes of each place."""
+    spark = docs.sparkSession
+    parts = parts or 2 * cluster.partitions(spark)
+    t = Fraction(threshold).limit_denominator(1000)
+    if not 0 < t <= 1:
+        raise ValueError("threshold must be over 0 and at most 1")
+    small_batches(spark)
+    source = _documents(docs)
+    postings = source.mapInArrow(lean(_scan(n, parts)), _PACKED)
+    shared = postings.groupBy("part").applyInArrow(lean_group(_count(parts)), _PACKED)
+    classes = shared.groupBy("part").applyInArrow(lean_group(_records(t)), _RECORD)
+    window = Window.partitionBy("key").orderBy("size", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    block = F.xxhash64("key", F.expr(f"(row_number() over (partition by key order by size, sig) - 1) div {SIDE}"), F.floor(F.sum(F.size("grams")).over(window) / SIDE_GRAMS))
+    records = cluster.written(spark, classes.select("sig", "doc_id", "docs", "size", "singles", block.alias("block"), "grams"), "records")
+    near = records.where("size(grams) > 0")
+    prefixes = near.select("block", "size", "singles", "grams").mapInArrow(lean(_prefixes(t, parts)), _PACKED)
+    pairs = cluster.written(spark, prefixes.groupBy("part").applyInArrow(lean_batches(_candidates(t)), "a bigint, b bigint").distinct(), "pairs")
+
+    label = (
+        pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("block")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    )
+    label = label.join(near.groupBy("block").agg(F.count(F.lit(1)).alias("classes")), "block")
+    slices = label.groupBy("label").agg(F.ceil(F.sum("classes") / BLOCK).alias("slices"))
+    slice_ = label.join(slices, "label").select("block", F.xxhash64("label", F.pmod(F.xxhash64("block"), "slices")).alias("slice"))
+    placed = (
+        pairs.join(slice_.select(F.col("block").alias("a"), F.col("slice").alias("slice_a")), "a")
+        .join(slice_.select(F.col("block").alias("b"), F.col("slice").alias("slice_b")), "b")
+        .select("a", "b", F.pmod(F.xxhash64(F.least("slice_a", "slice_b"), F.greatest("slice_a", "slice_b")), F.lit(parts)).alias("place"))
+    )
+    wanted = placed.select(F.col("place").alias("home"), F.explode(F.array("a", "b")).alias("block")).distinct()
+    sent = wanted.join(near.select("block", "doc_id", F.size("docs").alias("many"), "size", "grams"), "block")
+    return records, sent.groupBy("home").cogroup(placed.groupBy("place")).applyInArrow(lean_pair(_verify(t, made, schema)), ddl)
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.4, parts: int | None = None) -> DataFrame:
     """Pairs of documents whose word n-gram sets have a Jaccard similarity of ``threshold`` or more.
 
@@ -375,32 +541,37 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.4, part
     row, and other columns are not read, whatever their names.  Texts of any length
     are read whole.
     """
-    spark = docs.sparkSession
-    parts = parts or 2 * cluster.partitions(spark)
-    t = Fraction(threshold).limit_denominator(1000)
-    if not 0 < t <= 1:
-        raise ValueError("threshold must be over 0 and at most 1")
-    small_batches(spark)
-    source = _documents(docs)
-    postings = source.mapInArrow(lean(_scan(n, parts)), _PACKED)
-    shared = postings.groupBy("part").applyInArrow(lean_group(_count(parts)), _PACKED)
-    records = cluster.written(spark, shared.groupBy("part").applyInArrow(lean_group(_records(t)), _RECORD), "records")
-    copies = records.where("size(docs) > 1").select(F.col("doc_id").alias("doc_a"), F.explode(F.slice("docs", 2, F.size("docs"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    near = records.where("size(grams) > 0")
-    prefixes = near.select("sig", "size", "singles", "grams").mapInArrow(lean(_prefixes(t, parts)), _PACKED)
-    pairs = cluster.written(spark, prefixes.groupBy("part").applyInArrow(lean_group(_candidates(t)), "a bigint, b bigint").distinct(), "pairs")
-
-    label = (
-        pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("sig")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    )
-    blocks = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    block = label.join(blocks, "label").select("sig", F.xxhash64("label", F.pmod(F.xxhash64("sig"), "blocks")).alias("block"))
-    placed = (
-        pairs.join(block.select(F.col("sig").alias("a"), F.col("block").alias("block_a")), "a")
-        .join(block.select(F.col("sig").alias("b"), F.col("block").alias("block_b")), "b")
-        .select("a", "b", F.pmod(F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")), F.lit(parts)).alias("place"))
-    )
-    wanted = placed.select(F.col("place").alias("home"), F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sent = wanted.join(near.select("sig", "doc_id", "size", "grams"), "sig")
-    verified = sent.groupBy("home").cogroup(placed.groupBy("place")).applyInArrow(lean_pair(_verify(t)), "doc_a bigint, doc_b bigint, jaccard double")
+    records, verified = _joined(docs, n, threshold, parts, _pairs, _OUT_ARROW, "doc_a bigint, doc_b bigint, jaccard double")
+    copies = _members(records).where("doc_id <> class_id").select(F.col("class_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return copies.unionByName(verified)
+
+
+def _members(records: DataFrame) -> DataFrame:
+    """``class_id, doc_id, many`` of each document of the records' classes; many counts those of its class."""
+    return records.select(F.col("doc_id").alias("class_id"), F.explode("docs").alias("doc_id"), F.size("docs").cast("bigint").alias("many"))
+
+
+def ngram_jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.4, parts: int | None = None) -> DataFrame:
+    """One row for each doc_id: ``doc_id, class_id, links``.
+
+    ``class_id`` is the smallest doc_id of those with the same n-gram set, and
+    ``links`` the number of other documents whose similarity is ``threshold`` or more,
+    those of the own class included: all pairs of documents are counted, though
+    neither copies nor near copies make the rows more than the documents.
+
+    Documents are those of ``ngram_jaccard_join``; one without an n-gram is alone
+    in its class and has no link.
+    """
+    records, verified = _joined(docs, n, threshold, parts, _links, _LINKS_ARROW, "class_id bigint, links bigint")
+    links = verified.groupBy("class_id").agg(F.sum("links").alias("links"))
+    found = _members(records).join(links, "class_id", "left").select("doc_id", "class_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
+def ngram_jaccard_edges(docs: DataFrame, n: int = 5, threshold: float = 0.4, parts: int | None = None) -> DataFrame:
+    """``doc_a, doc_b``: edges that connect the documents that the pairs of
+    ``ngram_jaccard_join`` connect, no more than a few for each document."""
+    records, verified = _joined(docs, n, threshold, parts, _edges, _PAIR_ARROW, "a bigint, b bigint")
+    copies = _members(records).where("doc_id <> class_id").select(F.col("class_id").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    return copies.union(verified)
