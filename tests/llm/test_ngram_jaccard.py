@@ -231,3 +231,11 @@ def test_dense_and_single_blocks_agree(monkeypatch):
         monkeypatch.setattr(J, "COLUMNS", 64)
         found = [(int(x), int(y), int(k)) for a, b, o in J._Place(t, records).near(pairs) for x, y, k in zip(a, b, o)]
         assert set(found) == want and len(found) == len(want) > 50
+
+
+def test_thresholds_are_not_rounded(docs_of):
+    """0.9996 isn't 1: sets of 3,000 and 3,001 words have a similarity of 0.99967."""
+    words = " ".join(f"w{i}" for i in range(3000))
+    docs = docs_of([(1, words), (2, words + " more")])
+    assert got(ngram_jaccard_join(docs, 1, 0.9996)) == [(1, 2, 3000 / 3001)]
+    assert got(ngram_jaccard_join(docs, 1, 0.9997)) == []

@@ -494,7 +494,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, parts: int | None, made:
     what ``made`` makes of the near classes of each place."""
     spark = docs.sparkSession
     parts = parts or 2 * cluster.partitions(spark)
-    t = Fraction(threshold).limit_denominator(1000)
+    t = Fraction(str(threshold)).limit_denominator(10**9)
     if not 0 < t <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     small_batches(spark)
