@@ -239,3 +239,26 @@ def test_thresholds_are_not_rounded(docs_of):
     docs = docs_of([(1, words), (2, words + " more")])
     assert got(ngram_jaccard_join(docs, 1, 0.9996)) == [(1, 2, 3000 / 3001)]
     assert got(ngram_jaccard_join(docs, 1, 0.9997)) == []
+
+
+def test_groups_are_found_from_few_edges(docs_of, text_of, monkeypatch):
+    """What is kept of near copies comes from edges that follow the documents, not from all pairs."""
+    from tidemark.llm import near_groups
+
+    seen = []
+    monkeypatch.setattr(near_groups, "components", lambda edges: seen.append(edges.count()) or components(edges))
+    rows = near_copies(random.Random(14), text_of, 1, 200, 50, [1, 2])
+    kept = {r.doc_id for r in keep_one_of_each_group(docs_of(rows)).collect()}
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = plain(rows, 5, 2, 5)
+    for a, b, _ in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    assert kept == {i for i in parent if root(i) == i}
+    assert seen[0] < 4 * len(rows) < len(pairs) // 5

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark import cluster
 from tidemark.llm.arrow import fresh
-from tidemark.llm.ngram_jaccard import ngram_jaccard_join
+from tidemark.llm.ngram_jaccard import ngram_jaccard_edges
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -54,5 +54,5 @@ def keep_one_of_each_group(docs: DataFrame, n: int = 5, threshold: float = 0.4)
     pass unchanged; an empty table stays empty.
     """
     id_ = fresh("gone")
-    gone = components(ngram_jaccard_join(docs, n, threshold)).select(F.col("doc_id").alias(id_))
+    gone = components(ngram_jaccard_edges(docs, n, threshold)).select(F.col("doc_id").alias(id_))
     return docs.join(cluster.written(docs.sparkSession, gone, "gone"), F.col("doc_id").cast("bigint") == F.col(id_), "left_anti")
