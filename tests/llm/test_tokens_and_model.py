@@ -333,3 +333,30 @@ def test_vocabulary_grows_with_the_words():
     assert np.array_equal(np.sort(known(hashes)), np.arange(1, known.size)) and known.bits == 21
     told, drawn = H.Root(0.5, 10.0, 1).step(np.r_[0, np.ones(len(hashes), np.int64)])
     assert len(told) == len(drawn) == known.size and abs(told[1:].astype(float).sum() - 1) < 1e-4 and abs(drawn.astype(float).sum() - 1) < 1e-4
+
+
+def test_a_partition_is_scored_in_turns(monkeypatch):
+    """Its memory follows SCORED, not the partition, and the sums are the same."""
+    import pyarrow as pa
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    rng = np.random.default_rng(6)
+    size, most, whole = 64, [], H.probabilities
+    monkeypatch.setattr(H, "probabilities", lambda samples, customers, key, n, *rest: most.append(int(n.sum())) or whole(samples, customers, key, n, *rest))
+    kept = [Held(((rng.random(size).astype(np.float32) + 1, np.full(size, 1 / size), k), np.full(size, 9, np.int64), np.full(size, 1 / size))) for k in range(2)]
+    payloads = []
+    for k in range(5):
+        key = np.sort(rng.integers(0, size, 4000) << 20 | rng.integers(0, size, 4000)).astype(np.uint64)
+        payloads.append(H.T.pack(key, rng.integers(0, 30, 4000).astype(np.uint16), np.arange(30) + 25 * k))
+    table = pa.table({"part": pa.array([0] * 5, pa.int32()), "kind": pa.array([0] * 5, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+    kernel, found = H._score(kept, Held(np.full(size, 400.0, np.float32)), 0.75, 5.0, 3, 1, 20), []
+    for scored in (10**9, 2000):
+        monkeypatch.setattr(H, "SCORED", scored)
+        most.clear()
+        got = [H.T.unpack(x) for x in kernel(table).column("payload").to_pylist()]
+        found.append([np.concatenate([x[i] for x in got]) for i in range(3)])
+    assert max(most) < 4000 and sum(most) == 20000
+    assert np.array_equal(found[0][0], found[1][0]) and np.array_equal(found[0][1], found[1][1]) and np.allclose(found[0][2], found[1][2], rtol=1e-5)

@@ -45,6 +45,7 @@ FLUSH = 1 << 20
 EXACT = 256  # customers up to which the conditional is tabulated
 NODES, REACH = 40, 5.0  # of the integral beyond
 SLICE = 1 << 14
+SCORED = 1 << 19  # bigrams of a partition that are scored at once
 
 _ROW = "part int, kind int, payload binary"
 _ROW_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -516,28 +517,41 @@ def _by_doc(doc_id: np.ndarray, n: np.ndarray, log_prob: np.ndarray, parts: int)
     return [(int(part[s]), 1, T.pack(doc_id[s:e], _small(n[s:e]), log_prob[s:e].astype(np.float32))) for s, e in zip(cuts[:-1], cuts[1:])]
 
 
+def _turn(key: np.ndarray, bits: int, turns: int) -> np.ndarray:
+    """When each bigram is scored, all of a type at once."""
+    context, word = _split(key, bits)
+    return ((context + word) % turns).astype(np.int32)
+
+
 def _score(kept: list, customers, d: float, theta: float, parts: int, seed: int, bits: int):
     """Bigrams of a partition of types to sums by document."""
 
     def score(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         passed = [(table.column("part")[i].as_py(), 1, table.column("payload")[i].as_py()) for i in np.flatnonzero(kinds == 1).tolist()]
-        got = [T.unpack(x.as_py()) for x in table.column("payload").filter(pa.array(kinds == 0))]
+        got = [T.unpack(table.column("payload")[i].as_py()) for i in np.flatnonzero(kinds == 0).tolist()]
         if not got:
             return _table(passed)
-        key = np.concatenate([x[0] for x in got])
         ids = np.concatenate([x[2] for x in got])
         base = np.cumsum([0] + [len(x[2]) for x in got])
-        doc = np.concatenate([x[1].astype(np.int32) + np.int32(b) for x, b in zip(got, base)])
-        del got
-        at = order(key)
-        key, doc = key[at], doc[at]
-        del at
-        cuts = _cuts(key)
-        n = np.diff(cuts)
-        logs = np.log(probabilities([x.value for x in kept], customers.value, key[cuts[:-1]], n, d, theta, seed, bits))
-        sums = np.bincount(doc, np.repeat(logs, n), len(ids))
-        return _table(passed + _by_doc(ids, np.bincount(doc, minlength=len(ids)), sums, parts))
+        many, sums = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        turns = -(-sum(len(x[0]) for x in got) // SCORED)
+        for turn in range(turns):
+            inside = [np.flatnonzero(_turn(x[0], bits, turns) == turn) for x in got]
+            key = np.concatenate([x[0][i] for x, i in zip(got, inside)])
+            if not len(key):
+                continue
+            doc = np.concatenate([x[1][i].astype(np.int32) + np.int32(b) for x, i, b in zip(got, inside, base)])
+            del inside
+            at = order(key)
+            key, doc = key[at], doc[at]
+            del at
+            cuts = _cuts(key)
+            n = np.diff(cuts)
+            logs = np.log(probabilities([x.value for x in kept], customers.value, key[cuts[:-1]], n, d, theta, seed, bits))
+            sums += np.bincount(doc, np.repeat(logs, n), len(ids))
+            many += np.bincount(doc, minlength=len(ids))
+        return _table(passed + _by_doc(ids, many, sums, parts))
 
     return score
 
