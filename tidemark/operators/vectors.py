@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import cluster
 from tidemark.functions import arrays as A
 
+BLOCK, BLOCKS = 1024, 32  # rows of a block at least, blocks of a group at most
+TILE = 256, 512  # pairs whose distances are held at once
+PRODUCT = 512, 4096  # the same for a product of matrices
+
 
 def drop_missing(vectors: DataFrame, vector: str) -> DataFrame:
     """Rows whose vector is present, with no missing element."""
@@ -30,6 +40,65 @@ def centroids(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return mean.groupBy(*keys).agg(whole.alias("centroid"), F.max("__n").alias("n"))
 
 
+def _blocks(rows: DataFrame, keys: list[str], hashed: list[str]) -> DataFrame:
+    """Adds ``__b``, the block of a row by hash, and ``__n``, the blocks of its group; rows without a key go."""
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    counted = rows.groupBy(*keys).agg(F.least(F.lit(BLOCKS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("__n"))
+    joined = rows.join(counted, keys) if keys else rows.crossJoin(counted)
+    return joined.withColumn("__b", F.pmod(F.xxhash64(*hashed), "__n").cast("int"))
+
+
+def _cells(blocked: DataFrame) -> DataFrame:
+    """Each row once for every cell ``__p <= __q`` of two blocks that its block is part of."""
+    other = blocked.withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return other.withColumn("__p", F.least("__b", "__c")).withColumn("__q", F.greatest("__b", "__c")).drop("__c", "__n")
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Cells are small and their pairs many, so their number of partitions doesn't follow their bytes."""
+    return max(cluster.partitions(rows.sparkSession), 4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, filled up with zeros, and their lengths; -1 where one is NULL or has a NULL element."""
+    column = pa.chunked_array(column.chunks, column.type).combine_chunks().cast(pa.list_(pa.float64()))
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, width = column.flatten(), int(size.max(initial=0))
+    values = flat.to_numpy(zero_copy_only=False)
+    length = np.where(column.is_null().to_numpy(zero_copy_only=False), -1, size)
+    if flat.null_count:
+        length[np.repeat(np.arange(len(size)), size)[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    if (size == width).all():
+        return values.reshape(len(size), width), length
+    out = np.zeros((len(size), width))
+    out[np.arange(width) < size[:, None]] = values
+    return out, length
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows, elements added in order."""
+    total, gap = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
+    for u, v in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
+        np.subtract(u[:, None], v, out=gap)
+        np.multiply(gap, gap, out=gap)
+        total += gap
+    return total
+
+
+def _tiles(rows: int, columns: int, shape: tuple[int, int], upper: bool = False) -> Iterator[tuple[slice, slice]]:
+    """Tiles of a matrix; ``upper``: without those below the diagonal."""
+    for r in range(0, rows, shape[0]):
+        for c in range(r if upper else 0, columns, shape[1]):
+            yield slice(r, min(rows, r + shape[0])), slice(c, min(columns, c + shape[1]))
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Ranks of a sorted column, equal values alike."""
+    column = column.combine_chunks()
+    return np.cumsum(np.concatenate([[0], pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)]).astype(np.int64))
+
+
 def pairwise(vectors: DataFrame, keys: list[str], id_: str, vector: str) -> DataFrame:
     """``keys, i, j, distance`` of all pairs i < j of a group, Euclidean."""
     a = vectors.select(*keys, F.col(id_).alias("i"), F.col(vector).alias("__a"))
@@ -90,11 +159,90 @@ def cluster_sizes(labelled: DataFrame, label: str, keys: list[str] | None = None
     return labelled.groupBy(*(keys or []), label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _runs(code: np.ndarray) -> np.ndarray:
+    """Starts of the runs of a sorted array, and its end."""
+    return np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
+
+
+def _least(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, best: np.ndarray, wanted: np.ndarray) -> None:
+    """Lowers ``best`` to the least squared distances where ``wanted``; a and b, ascending, are the rows of best of x's and its columns of y's.
+
+    A product of matrices finds where a least one may lie; those few are computed from differences.
+    """
+    square = [np.einsum("ij,ij->i", v, v) for v in (x, y)]
+    x_long, y_long = np.column_stack([-2 * x, square[0], np.ones(len(x))]), np.column_stack([y, np.ones(len(y)), square[1]])
+    for r, c in _tiles(len(x), len(y), PRODUCT):
+        rows, columns = _runs(a[r]), _runs(b[c])
+        here = np.ix_(a[r][rows[:-1]], b[c][columns[:-1]])
+        if not wanted[here].any():
+            continue
+        product = x_long[r] @ y_long[c].T
+        # far above the rounding of so many products
+        slack = 8 * (x.shape[1] + 8) * 2.3e-16 * (square[0][r].max() + square[1][c].max())
+        lines = np.stack([product[s:e].min(0) for s, e in zip(rows[:-1], rows[1:])])
+        low = np.minimum.reduceat(lines, columns[:-1], axis=1)
+        for u, v in np.argwhere((low - slack < best[here]) & wanted[here]):
+            i, j = np.nonzero(product[rows[u] : rows[u + 1], columns[v] : columns[v + 1]] <= low[u, v] + 2 * slack)
+            place = here[0][u, 0], here[1][0, v]
+            for k in range(0, len(i), 1 << 14):
+                left, right = x[r][rows[u] + i[k : k + (1 << 14)]], y[c][columns[v] + j[k : k + (1 << 14)]]
+                total = np.zeros(len(left))
+                for one, other in zip(left.T, right.T):
+                    total += (one - other) * (one - other)
+                best[place] = min(best[place], total.min())
+
+
+def _least_of_labels(keys: list[str]):
+    """A cell's vectors to the least distance of each two of its labels: NaN where all are, NULL where there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by("__l").combine_chunks()
+        code, block, label = _codes(table.column("__l")), table.column("__b").to_numpy(), table.column("__l").combine_chunks()
+        x, length = matrix(table.column("__v"))
+        with np.errstate(invalid="ignore", over="ignore"):
+            plain = np.isfinite((x * x).sum(1))
+        first, last = table.column("__p")[0].as_py(), table.column("__q")[0].as_py()
+        named = [table.column(k)[0] for k in keys]
+        one, two = np.flatnonzero(block == first), np.flatnonzero(block == last)
+        if not len(one) or not len(two):
+            return
+        ends, (others, column) = _runs(code[one]), np.unique(code[two], return_inverse=True)
+        # the labels of one side in turns, so that no matrix of labels holds more than some millions
+        for k in range(0, len(ends) - 1, step := max(1, (1 << 21) // len(others))):
+            own = one[ends[k] : ends[min(k + step, len(ends) - 1)]]
+            labels, row = np.unique(code[own], return_inverse=True)
+            wanted = labels[:, None] < others if first == last else labels[:, None] != others
+            best, met, real = np.full(wanted.shape, np.inf), np.zeros(wanted.shape, bool), np.zeros(wanted.shape, bool)
+            for size in np.unique(length[own][length[own] >= 0]):
+                i, j = np.flatnonzero(length[own] == size), np.flatnonzero(length[two] == size)
+                met[np.ix_(np.unique(row[i]), np.unique(column[j]))] = True
+                fine, good = plain[own[i]], plain[two[j]]
+                if fine.any() and good.any():
+                    _least(x[own[i[fine]]], x[two[j[good]]], row[i[fine]], column[j[good]], best, wanted)
+                for some, rest in ((i[~fine], j), (i[fine], j[~good])):  # NaN, infinite or too long to square
+                    for r, c in _tiles(len(some), len(rest), TILE):
+                        with np.errstate(invalid="ignore", over="ignore"):
+                            total = _squares(x[own[some[r]]], x[two[rest[c]]])
+                        place = np.broadcast_arrays(row[some[r]][:, None], column[rest[c]])
+                        np.fmin.at(best, tuple(place), total)
+                        kept = ~np.isnan(total)
+                        real[place[0][kept], place[1][kept]] = True
+            u, v = np.nonzero(wanted)
+            value = np.where((real | np.isfinite(best))[u, v], np.sqrt(best[u, v]), np.nan)
+            at = np.searchsorted(code, labels)[u], np.searchsorted(code, others)[v]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(k, len(u)) for k in named], label.take(pa.array(np.minimum(*at))), label.take(pa.array(np.maximum(*at))), pa.array(value, mask=~met[u, v])], names=[*keys, "a", "b", "distance"])
+
+    return run
+
+
 def cluster_distances(vectors: DataFrame, keys: list[str], id_: str, vector: str, label: str) -> DataFrame:
-    """``a, b, distance``: the least distance between members of two clusters a < b."""
-    x = vectors.select(*keys, F.col(label).alias("a"), F.col(vector).alias("__a"))
-    y = vectors.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(label).alias("b"), F.col(vector).alias("__b"))
-    on = F.col("a") < F.col("b")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    return x.join(y, on).groupBy(*keys, "a", "b").agg(F.min(A.euclidean("__a", "__b")).alias("distance"))
+    """``keys, a, b, distance``: the least distance between members of two clusters a < b.
+
+    Every pair is looked at: a group is cut into at most BLOCKS blocks by hash, and a cell of two of them gives a row for two labels.
+    """
+    kinds = dict(vectors.dtypes)
+    rows = vectors.where(F.col(label).isNotNull()).select(*keys, F.col(label).alias("__l"), F.col(vector).alias("__v"), F.col(id_).alias("__i"))
+    cells = _cells(_blocks(rows, keys, ["__i", "__v"]).drop("__i")).repartition(_tasks(vectors), *keys, "__p", "__q")
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " * bool(keys) + f"a {kinds[label]}, b {kinds[label]}, distance double"
+    return cells.groupBy(*keys, "__p", "__q").applyInArrow(_least_of_labels(keys), schema).groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance"))
