@@ -65,3 +65,19 @@ def test_labels_of_one_table_are_spread(spark):
     got = {(r.a, r.b): r.distance for r in found.collect()}
     for k in range(3):
         assert math.isclose(got[k, 3], np.sqrt(((x[4000:][np.arange(2000) % 3 == k] - x[:2000][np.arange(2000) % 3 == k]) ** 2).sum(1)).min(), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("block", [1024, 20])
+def test_pairs_of_odd_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "BLOCK", block)
+    made, df = rows(spark)
+    expected = [(k, i, j, distance(v, w)) for k, i, v, _ in made for m, j, w, _ in made if k is not None and k == m and i is not None and j is not None and i < j]
+    assert text(tuple(r) for r in V.pairwise(df, ["k"], "id", "v").collect()) == text(expected)
+
+
+def test_pairs_of_one_group_are_spread(spark):
+    df = spark.range(3000).select(F.col("id"), F.lit(1).alias("k"), F.array(F.col("id").cast("double")).alias("v"))
+    found = V.pairwise(df, ["k"], "id", "v")
+    per_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 3000 * 2999 // 2 and len(per_task) > 2
+    assert found.where("distance <> j - i or i >= j").count() == 0
