@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import vectors as V
+from tidemark.plans import catalogue
 
 
 def rows(spark, n=260):
@@ -81,3 +82,21 @@ def test_pairs_of_one_group_are_spread(spark):
     per_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per_task) == 3000 * 2999 // 2 and len(per_task) > 2
     assert found.where("distance <> j - i or i >= j").count() == 0
+
+
+@pytest.mark.parametrize("block", [1024, 20])
+def test_pairs_without_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "BLOCK", block)
+    made, df = rows(spark)
+    expected = [(k, i, j) for k, i, *_ in made for m, j, *_ in made if k is not None and k == m and i is not None and j is not None and i < j]
+    assert text(tuple(r) for r in V.pairs(df, ["k"], "id").collect()) == text(expected)
+
+
+def test_places_of_one_label_are_spread(spark, tmp_path):
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit(1).alias("label"))
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalogue.QUERIES["condensed_places"](spark, str(tmp_path))
+    per_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 3000 * 2999 // 2 and len(per_task) > 2
+    ends = found.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first()
+    assert tuple(ends) == (0, sum(per_task) - 1, sum(per_task))
