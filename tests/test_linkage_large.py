@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import linkage as L
 
@@ -37,3 +38,9 @@ def test_wanted_number_is_found_without_a_cut_for_each():
     x = np.repeat(np.eye(4), 400, 0) + 0.05 * np.random.default_rng(2).standard_normal((1600, 4))
     found = L.cluster(x, 5.0, num=4)
     assert len(set(found)) == 4 and all(len(set(found[k * 400 : k * 400 + 400])) == 1 for k in range(4))
+
+
+def test_groups_are_not_put_in_one_task(spark):
+    df = spark.createDataFrame([(i, i % 6, v.tolist()) for i, v in enumerate(units(120, 4))], "id long, g int, v array<double>")
+    by_task = {(r.g, r.p) for r in L.dendrogram(df, "g", "id", "v").select("g", F.spark_partition_id().alias("p")).distinct().collect()}
+    assert len(by_task) == 6 and len({p for _, p in by_task}) > 3

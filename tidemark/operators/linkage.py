@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.cluster import partitions
 from tidemark.operators import vectors
 
 METHODS = ("single", "complete", "average", "weighted", "centroid", "median", "ward")
@@ -395,6 +396,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return x
 
 
+def _spread(rows: DataFrame, group: str) -> DataFrame:
+    """Groups in partitions that stay apart: their work grows with the square of their bytes, so small ones aren't put together."""
+    spark = rows.sparkSession
+    return rows.repartition(max(partitions(spark), 16 * spark.sparkContext.defaultParallelism), group)
+
+
 def dendrogram(rows: DataFrame, group: str, order: str, vector: str, method: str = "centroid") -> DataFrame:
     """``group, k, l, r, dist, size`` of each group's merges, points in order of ``order``."""
     kind = dict(rows.dtypes)[group]
@@ -404,7 +411,7 @@ def dendrogram(rows: DataFrame, group: str, order: str, vector: str, method: str
         z = linkage(_matrix(table.column(vector)), method)
         return pa.table([pa.repeat(table.column(group)[0], len(z)), pa.array(np.arange(len(z)), pa.int32()), pa.array(z[:, 0], pa.int32()), pa.array(z[:, 1], pa.int32()), pa.array(z[:, 2]), pa.array(z[:, 3], pa.int32())], names=[group, "k", "l", "r", "dist", "size"])
 
-    return rows.select(group, order, vector).groupBy(group).applyInArrow(run, f"{group} {kind}, k int, l int, r int, dist double, size int")
+    return rows.select(group, order, vector).transform(_spread, group).groupBy(group).applyInArrow(run, f"{group} {kind}, k int, l int, r int, dist double, size int")
 
 
 def flat_clusters(rows: DataFrame, group: str, order: str, vector: str, cutoff: float, method: str = "centroid") -> DataFrame:
@@ -416,7 +423,7 @@ def flat_clusters(rows: DataFrame, group: str, order: str, vector: str, cutoff:
         labels = cut(linkage(_matrix(table.column(vector)), method), cutoff)
         return pa.table([table.column(group), table.column(order), pa.array(labels, pa.int32())], names=[group, order, "cluster"])
 
-    return rows.select(group, order, vector).groupBy(group).applyInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, cluster int")
+    return rows.select(group, order, vector).transform(_spread, group).groupBy(group).applyInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, cluster int")
 
 
 def cluster_groups(rows: DataFrame, group: str, order: list[str], vector: str, **options) -> DataFrame:
@@ -432,7 +439,7 @@ def cluster_groups(rows: DataFrame, group: str, order: list[str], vector: str, *
         return pa.table([table.column(group), *[table.column(c) for c in order], pa.array(labels, pa.int32())], names=[group, *order, "cluster"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (group, *order)) + ", cluster int"
-    return rows.select(group, *order, vector).groupBy(group).applyInArrow(run, schema)
+    return rows.select(group, *order, vector).transform(_spread, group).groupBy(group).applyInArrow(run, schema)
 
 
 def constrained_assign(similar: DataFrame, keys: list[str], row: str, column: str, value: str) -> DataFrame:
