@@ -44,3 +44,13 @@ def test_groups_are_not_put_in_one_task(spark):
     df = spark.createDataFrame([(i, i % 6, v.tolist()) for i, v in enumerate(units(120, 4))], "id long, g int, v array<double>")
     by_task = {(r.g, r.p) for r in L.dendrogram(df, "g", "id", "v").select("g", F.spark_partition_id().alias("p")).distinct().collect()}
     assert len(by_task) == 6 and len({p for _, p in by_task}) > 3
+
+
+def test_components_of_many_vectors():
+    """Chains of steps at the cutoff are one component, with copies among them; a longer step is a gap."""
+    at = np.concatenate([np.arange(900) * 0.5, 1000 + np.arange(900) * 0.5])
+    x = np.column_stack([at, np.zeros(1800)])[np.random.default_rng(3).permutation(1800)]
+    x = np.concatenate([x, x[:50]])
+    labels = L.cut(L.linkage(x, "single"), 0.5)
+    assert len(set(labels)) == 2 and ((labels == labels[np.argmin(x[:, 0])]) == (x[:, 0] < 1000)).all()
+    assert len(set(L.cut(L.linkage(x, "single"), 0.49))) == 1800
