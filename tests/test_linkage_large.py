@@ -54,3 +54,11 @@ def test_components_of_many_vectors():
     labels = L.cut(L.linkage(x, "single"), 0.5)
     assert len(set(labels)) == 2 and ((labels == labels[np.argmin(x[:, 0])]) == (x[:, 0] < 1000)).all()
     assert len(set(L.cut(L.linkage(x, "single"), 0.49))) == 1800
+
+
+def test_flat_clusters_with_copies():
+    """Copies merge first, at no distance, and stay together at any cutoff."""
+    x = units(400, 16, 5)
+    labels = L.cut(L.linkage(np.concatenate([x, x, x]), "centroid"), 0.3)
+    assert (labels[:400] == labels[400:800]).all() and (labels[:400] == labels[800:]).all()
+    assert np.allclose(L.linkage(np.concatenate([x, x, x]), "centroid")[:800, 2], 0, atol=1e-12)
