@@ -45,6 +45,7 @@ FLUSH = 1 << 20
 EXACT = 256  # customers up to which the conditional is tabulated
 NODES, REACH = 40, 5.0  # of the integral beyond
 SLICE = 1 << 14
+SEATED = 1 << 15  # dishes of the root that are seated in one piece
 SCORED = 1 << 19  # bigrams of a partition that are scored at once
 
 _ROW = "part int, kind int, payload binary"
@@ -130,14 +131,18 @@ def _seat_many(c: np.ndarray, log_g: np.ndarray, d: float, uniform: Keyed, which
     greatest value around the mode and under exponentials, through two of its points, beyond."""
     low, high = np.ones(len(c)), c - 1
     mode = np.clip(d * np.exp(np.minimum(log_g, 500)) * np.log(c) + 2, low, high)
-    for _ in range(60):
-        value, slope, bend = log_weight(mode, c, log_g, d)
-        low, high = np.where(slope > 0, mode, low), np.where(slope > 0, high, mode)
-        step = np.where(bend < 0, mode - slope / np.minimum(bend, -1e-300), np.nan)
-        after = np.where((step >= low) & (step <= high), step, (low + high) / 2)
-        if (np.abs(after - mode) < 0.01 / np.sqrt(np.maximum(-bend, 1e-3))).all():
+    open_ = np.arange(len(c))
+    for _ in range(60):  # each until it is near its own mode, whatever it is drawn with
+        at = mode[open_]
+        value, slope, bend = log_weight(at, c[open_], log_g[open_], d)
+        low[open_], high[open_] = np.where(slope > 0, at, low[open_]), np.where(slope > 0, high[open_], at)
+        step = np.where(bend < 0, at - slope / np.minimum(bend, -1e-300), np.nan)
+        after = np.where((step >= low[open_]) & (step <= high[open_]), step, (low[open_] + high[open_]) / 2)
+        near = np.abs(after - at) < 0.01 / np.sqrt(np.maximum(-bend, 1e-3))
+        mode[open_] = np.where(near, at, after)
+        open_ = open_[~near]
+        if not len(open_):
             break
-        mode = after
     ends = log_weight(c, c, log_g, d)[0] > log_weight(c - 1, c, log_g, d)[0]
     mode = np.where(ends, c, mode)
     value, slope, bend = log_weight(mode, c, log_g, d)
@@ -401,11 +406,40 @@ def _collect(rows: DataFrame, size: int) -> dict[int, np.ndarray]:
     return {kind: x[:size] for kind, x in out.items()}
 
 
+def _seated(g: float, d: float, seed: int, number: int):
+    """Words and their customers to the tables of the root's dishes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, x in zip(batch.column("part").to_pylist(), batch.column("payload")):
+                word, n = T.unpack(x.as_py())
+                t = seat(n.astype(np.int64), np.full(len(n), g), d, Keyed(word.astype(U64), seed, 2, number))
+                yield from _table([(part, 0, T.pack(word, _small(t)))]).to_batches()
+
+    return run
+
+
 class Root:
     """The root restaurant: its tables, x and distribution, one step a round."""
 
-    def __init__(self, d: float, theta: float, seed: int):
-        self.d, self.theta, self.seed, self.x, self.number = d, theta, seed, None, 0
+    def __init__(self, d: float, theta: float, seed: int, spark: SparkSession | None = None):
+        self.d, self.theta, self.seed, self.x, self.number, self.spark = d, theta, seed, None, 0, spark
+
+    def seated(self, word: np.ndarray, n: np.ndarray, g: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The tables of words of two customers or more, in pieces: many words are drawn
+        in the executors, and the same as here, since a draw depends on its word alone."""
+        kernel = _seated(g, self.d, self.seed, self.number)
+        pieces = max(1, -(-len(word) // SEATED))
+        if self.spark is not None and pieces > 1:
+            pieces = max(pieces, 4 * self.spark.sparkContext.defaultParallelism)
+        # every so many-th word, for the frequent ones weigh most
+        rows = _table([(k, 0, T.pack(word[k::pieces], n[k::pieces])) for k in range(pieces)])
+        if self.spark is None or pieces == 1:
+            for batch in kernel(iter(rows.to_batches(1))):
+                yield from (T.unpack(x.as_py()) for x in batch.column("payload"))
+        else:
+            made = self.spark.createDataFrame([(r["part"], r["kind"], r["payload"]) for r in rows.to_pylist()], _ROW).repartition(pieces, "part")
+            yield from (T.unpack(bytes(r.payload)) for r in made.mapInArrow(lean(kernel), _ROW).collect())
 
     def step(self, customers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Given its customers: each word's predictive probability by the new seating, and a draw of the distribution."""
@@ -417,9 +451,10 @@ class Root:
         # slice by slice: only vectors of small numbers are as long as the vocabulary
         t = np.zeros(size, np.uint32)
         for own in _slices(size):
-            several = np.flatnonzero(customers[own] > 1)
             t[own] = customers[own] > 0
-            t[own][several] = seat(customers[own][several].astype(np.int64), np.full(len(several), self.x / words), d, Keyed((several + own.start).astype(U64), self.seed, 2, self.number))
+        several = np.flatnonzero(customers > 1).astype(np.uint32)
+        for at, n in self.seated(several, customers[several], self.x / words):
+            t[at] = n
         tables = int(t.sum())
         self.x = rng.standard_gamma(theta / d + tables)
         probability, drawn, mass = np.empty(size, np.float32), np.zeros(size, np.float32), 0.0
@@ -595,7 +630,7 @@ def perplexity(docs: DataFrame, d: float = 0.75, theta: float = 5.0, root_d: flo
     del customers, sums
     release()
 
-    root, kept, tables = Root(root_d, root_theta, seed), [], types
+    root, kept, tables = Root(root_d, root_theta, seed, spark), [], types
     _, drawn = root.step(dishes)
     for number in range(burn_in + samples):
         fields = context_x(tables, d, theta, seed, number), drawn, number
